@@ -14,6 +14,7 @@ import hashlib
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -26,8 +27,8 @@ from pyspark.sql import types as T
 from shelfspark.storage import new_path
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Pre-tokens remembered by a worker before it starts anew.
-REMEMBERED = 400_000
+#: Pre-tokens of a worker's newer generation; those not met again for so many are forgotten.
+REMEMBERED = 300_000
 #: First code point that always goes to the library.
 BEYOND = 0x250
 
@@ -64,7 +65,8 @@ class Encoder:
         pre = self.library.pre_tokenizer
         plain = isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space
         self.by_piece = plain and self.library.normalizer is None
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.beyond = re.compile(f"[^\x00-{chr(BEYOND - 1)}]")
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -73,14 +75,18 @@ class Encoder:
         if not self.by_piece or self.beyond.search(text) or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         pieces = _splitter().findall(text)
-        new = [p for p in set(pieces) if p not in self.known]
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known = {}
-                new = list(set(pieces))
-            for p, e in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-                self.known[p] = tuple(e.ids)
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, pieces)), np.uint32)
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        missing = set(pieces).difference(self.known)
+        new = []
+        for p in missing:
+            if p in self.older:
+                self.known[p] = self.older[p]
+            else:
+                new.append(p)
+        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False) if new else ()):
+            self.known[p] = array("I", e.ids).tobytes()
+        return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.uint32)
 
 
 @functools.lru_cache(maxsize=2)
