@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import os
 import re
 import unicodedata
 from array import array
@@ -23,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer, pre_tokenizers
 
 from shelfspark.storage import new_path
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens of a worker's newer generation; those not met again for so many are forgotten.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: First code point that always goes to the library.
 BEYOND = 0x250
 
@@ -53,20 +53,29 @@ def _splitter() -> re.Pattern[str]:
     )
 
 
+class _Known(dict):
+    """Pre-token -> its ids as bytes; what is missing comes from the older generation or the library."""
+
+    def __init__(self, library: Tokenizer, older: dict[str, bytes]):
+        self.encode, self.older = library.encode, older
+
+    def __missing__(self, piece: str) -> bytes:
+        if (ids := self.older.get(piece)) is None:
+            ids = array("I", self.encode(piece, add_special_tokens=False).ids).tobytes()
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """One worker's tokenizer."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
-
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         pre = self.library.pre_tokenizer
         plain = isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space
         self.by_piece = plain and self.library.normalizer is None
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = _Known(self.library, {})
         self.beyond = re.compile(f"[^\x00-{chr(BEYOND - 1)}]")
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -74,19 +83,9 @@ class Encoder:
         text = text or ""
         if not self.by_piece or self.beyond.search(text) or any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces = _splitter().findall(text)
         if len(self.known) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        missing = set(pieces).difference(self.known)
-        new = []
-        for p in missing:
-            if p in self.older:
-                self.known[p] = self.older[p]
-            else:
-                new.append(p)
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False) if new else ()):
-            self.known[p] = array("I", e.ids).tobytes()
-        return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.uint32)
+            self.known = _Known(self.library, dict(self.known))
+        return np.frombuffer(b"".join(map(self.known.__getitem__, _splitter().findall(text))), np.uint32)
 
 
 @functools.lru_cache(maxsize=2)
