@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, pre_tokenizers
 
-from shelfspark.storage import new_path
+from shelfspark.storage import new_path, stored
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens of a worker's newer generation; those not met again for so many are forgotten.
@@ -128,6 +128,8 @@ def token_counts(
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     rows = rows.withColumns({"digest": F.sha2(F.encode("text", "UTF-8"), 256), "n_bytes": F.octet_length("text").cast("long")})
 
+    own = stored(rows.select("id", "digest", "n_bytes"), "token-digests")
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
@@ -143,7 +145,9 @@ def token_counts(
     missing = rows.select("digest", "text").join(counts().select("digest"), "digest", "left_anti")
     missing = missing.groupBy("digest").agg(F.first("text").alias("text"))
     missing.mapInArrow(encode, CACHE).write.mode("append").parquet(where)
-    return rows.select("id", "digest", "n_bytes").join(counts(), "digest").select("id", "n_bytes", "n_tokens")
+    # a table of its own, so that adaptive execution can split the documents of a hot digest in the join
+    needed = stored(counts().join(own.select("digest").distinct(), "digest", "left_semi"), "token-counts")
+    return own.join(needed, "digest").select("id", "n_bytes", "n_tokens")
 
 
 def op3(docs: DataFrame) -> DataFrame:
