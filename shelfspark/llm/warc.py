@@ -25,6 +25,8 @@ from shelfspark.storage import new_path, stored
 END = "\r\n\r\n"
 #: Payloads of fewer bytes are always stored again.
 LEAST_BYTES = 100
+#: Repeated payloads (about 100 bytes each) so many at most are broadcast.
+BROADCAST_ROWS = 200_000
 #: Records in a file at most, so that a file can be read at once.
 FILE_RECORDS = 4_000
 DATE = "2024-01-01T00:00:00Z"
@@ -49,6 +51,9 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = rows.withColumns({"digest": F.sha2("html", 256), "size": F.octet_length("html")})
     big = F.col("size") >= least
     firsts = rows.where(big).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = stored(firsts, "warc-repeated")
+    if firsts.count() <= BROADCAST_ROWS:  # payloads stay where they are; beyond it, a shuffle join
+        firsts = F.broadcast(firsts)
     rows = rows.join(firsts, "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(END))
@@ -170,13 +175,24 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes,
         yield "gap", lost, len(data), {}, b"", reason
 
 
-READ = "file string, kind string, start long, end long, reason string, headers map<string,string>, block binary"
+READ = (
+    "file string, kind string, start long, end long, reason string, headers map<string,string>, "
+    "payload_bytes long, payload_digest string, http string, block binary"
+)
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """file, kind (record or gap), start, end, reason, headers, block: all that the files below ``path`` hold.
+def payload_of(head: dict[str, str], block: bytes) -> tuple[str | None, bytes]:
+    """(HTTP header or null, payload) of a record's block."""
+    if "application/http" not in head.get("content-type", ""):
+        return None, block
+    http, _, payload = block.partition(b"\r\n\r\n")
+    return http.decode("iso-8859-1"), payload
 
-    Gaps are the log of quarantined bytes. An empty file has no row. One file is
+
+def read_archives(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
+    """file, kind (record or gap), start, end, reason, headers, and the payload's size and SHA-256, HTTP header and block.
+
+    All that the files below ``path`` hold; without ``blocks`` these are null. Gaps are the log of quarantined bytes. An empty file has no row. One file is
     in a task's memory at a time, so files should be of bounded size, as
     ``write_archives`` makes them.
     """
@@ -184,14 +200,19 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema(
-            [("file", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reason", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())]
+            [
+                ("file", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reason", pa.string()), ("headers", pa.map_(pa.string(), pa.string())),
+                ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("http", pa.string()), ("block", pa.binary()),
+            ]
         )
         for b in batches:
             for name, content in zip(b.column(0), b.column(1)):
                 rows, held = [], 0
                 for kind, start, end, head, block, reason in salvage(content.as_py() or b""):
-                    rows.append((name.as_py(), kind, start, end, reason or None, list(head.items()), block))
-                    held += len(block)
+                    http, payload = payload_of(head, block) if kind == "record" else (None, None)
+                    told = (None, None) if payload is None else (len(payload), hashlib.sha256(payload).hexdigest())
+                    rows.append((name.as_py(), kind, start, end, reason or None, list(head.items()), *told, http, block if blocks else None))
+                    held += len(block) if blocks else 200
                     if held > 1 << 23:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
                         rows, held = [], 0
@@ -207,7 +228,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pages_read(found: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, gaps): the page records among those read.
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to): the page records among those read.
 
     The size and digest of a response are those of its payload as read; a revisit
     has them in its record. A record without a page's id has a null id.
@@ -215,15 +236,12 @@ def pages_read(found: DataFrame) -> DataFrame:
     head = lambda name: F.try_element_at("headers", F.lit(name))
     page = lambda name: F.nullif(F.regexp_extract(F.coalesce(head(name), F.lit("")), "^<urn:page:(.*)>$", 1), F.lit("")).cast("long")
     rows = found.where("kind = 'record'").withColumn("type", head("warc-type")).where(F.col("type").isin("response", "revisit"))
-    text = F.decode(F.col("block"), "ISO-8859-1")  # a character for each byte
-    begin = F.instr(text, END) + 3
-    payload = F.substring("block", begin + 1, F.length("block"))
-    told = F.regexp_extract(F.substring(text, F.lit(1), begin), r"(?i)\r\nContent-Length: *([0-9]+)\r\n", 1).cast("long")
+    told = F.regexp_extract("http", r"(?im)^Content-Length: *([0-9]+)\r?$", 1).cast("long")
     fresh = F.col("type") == "response"
     return rows.select(
         page("warc-record-id").alias("page_id"),
-        F.when(fresh, F.octet_length(payload).cast("long")).otherwise(told).alias("payload_bytes"),
-        F.when(fresh, F.sha2(payload, 256)).otherwise(F.regexp_replace(head("warc-payload-digest"), "^sha256:", "")).alias("payload_digest"),
+        F.when(fresh, F.col("payload_bytes")).otherwise(told).alias("payload_bytes"),
+        F.when(fresh, F.col("payload_digest")).otherwise(F.regexp_replace(head("warc-payload-digest"), "^sha256:", "")).alias("payload_digest"),
         F.col("type").alias("record_type"),
         page("warc-refers-to").alias("refers_to"),
     )
@@ -233,7 +251,7 @@ def op10(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every page, read back from archives."""
     path = new_path(pages.sparkSession, "warc")
     write_archives(pages, path)
-    return pages_read(read_archives(pages.sparkSession, path))
+    return pages_read(read_archives(pages.sparkSession, path, blocks=False))
 
 
 OP10_SQL = """
