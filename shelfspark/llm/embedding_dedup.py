@@ -35,7 +35,7 @@ BLOCKS = 4
 #: Axes of a block's grid.
 GRID_AXES = 3
 #: Vectors in a chunk, and about as many in a cell.
-CHUNK = 4096
+CHUNK = 16384
 #: Rotated unit coordinates are rounded to multiples of 1 / SCALE.
 SCALE = 1 << 20
 TILE = 1024
