@@ -41,11 +41,13 @@ def cut(n: int, capacity: int = CAPACITY, tail: int = TAIL) -> list[tuple[int, i
     pieces = [(capacity, 1)] * (n // capacity)
     rest = n % capacity
     while rest:
-        k = -(-capacity // (rest + 1)) if rest >= tail else capacity // rest
-        size = capacity // k if rest >= tail else rest
-        while size > rest:  # the floor of the quotient can lie one class further
-            k, size = k + 1, capacity // (k + 1)
-        pieces.append((size, k))
+        size = rest
+        if rest >= tail:
+            k = -(-capacity // (rest + 1))
+            while capacity // k > rest:  # the floor of the quotient can lie one class further
+                k += 1
+            size = capacity // k
+        pieces.append((size, capacity // size))
         rest -= size
     return pieces
 

@@ -29,7 +29,7 @@ LEAST_VALUE, LEAST_ACCESS = 6, 20
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Least log-likelihood ratio (nats) per transition and in total.
-PER_STEP, TOTAL = 0.6, 14.0
+PER_STEP, TOTAL = 0.8, 14.0
 #: Ordinary identifiers are sampled from so many documents at most.
 SAMPLE_DOCS = 2_000
 #: Random strings generated for training.
@@ -45,13 +45,42 @@ def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
     return rows.select(F.substring(F.element_at(kinds, (F.col("id") % 5 + 1).cast("int")), F.lit(1), size).alias("text"))
 
 
+# Ordinary words of identifiers, paths and hosts.
+WORDS = """access account action address admin agent alert amount answer application archive array article asset async author backup
+balance batch binary block branch browser bucket buffer build button bytes cache calendar callback category channel chapter
+character check child class client cluster code collection column command comment common company component config connection
+container content context control cookie count country create current customer data database date default delete description
+design detail device directory document domain download driver editor element email engine entry error event example export
+factory feature field file filter folder format frame function gateway global graph group handler header height history home
+host icon image import index input install instance interface internal invoice item javascript job journal keyboard label
+language layer layout length level library limit link list load local location login lookup machine manager market master
+match maximum media member memory message method minimum mobile model module monitor name network node notes number object
+offset option order output owner package page parent parser password path pattern payment people permission phone picture
+platform player plugin point policy position power price primary private process product profile program project property
+protocol provider public""".split()
+
+
+def identifiers(spark: SparkSession) -> DataFrame:
+    """text: compounds of ``WORDS`` as code, paths and hosts have them, with numbers, dates and version numbers."""
+    n = len(WORDS)
+    words = F.array(*map(F.lit, WORDS))
+    rows = spark.range(12 * n).select("id", *(F.element_at(words, ((F.col("id") * k + k) % n + 1).cast("int")).alias(f"w{k}") for k in (1, 7, 11)))
+    day = F.date_format(F.timestamp_seconds(F.col("id") * 7_654_321), "yyyy-MM-dd'T'HH-mm-ss")
+    number = (F.col("id") * 37 % 2100).cast("string")
+    shapes = [
+        F.concat("w1", F.initcap("w7"), F.initcap("w11")), F.concat_ws("_", "w1", "w7", "w11", number), F.concat_ws("-", "w1", "w7", number),
+        F.concat(F.lit("/"), F.concat_ws("/", "w1", "w7", "w11"), F.lit("/v"), number), F.upper(F.concat_ws("_", "w1", "w7")), day, F.concat("w1", "w7", number), F.concat(F.initcap("w1"), F.initcap("w7"), number),
+    ]
+    return rows.select(F.element_at(F.array(*shapes), (F.col("id") % len(shapes) + 1).cast("int")).alias("text"))
+
+
 def labelled_samples(docs: DataFrame, text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """(text, random): the training set of ``train``.
 
     Random: generated strings. Ordinary: words of letters and digits of at most
     ``sample_docs`` documents (those with the least text hashes), outside the
     matches of the patterns, and compounds of two of them as identifiers have
-    them (camelCase, snake_case, kebab-case and paths).
+    them (camelCase, snake_case, kebab-case and paths), and ``identifiers``.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("at")).where("text is not null")
@@ -61,7 +90,8 @@ def labelled_samples(docs: DataFrame, text_col: str = "text", sample_docs: int =
     words = few.select(F.posexplode(F.regexp_extract_all(clean, F.lit("[A-Za-z]{3,15}[0-9]{0,2}"), 0)).alias("pos", "w"))
     joint = F.element_at(F.array(F.lit(""), F.lit("_"), F.lit("-"), F.lit("/")), (F.col("pos") % 4 + 1).cast("int"))
     ordinary = words.select(F.concat(F.col("w"), joint, F.initcap("w")).alias("text"))
-    return random_strings(spark).withColumn("random", F.lit(True)).unionByName(ordinary.withColumn("random", F.lit(False)))
+    ordinary = ordinary.unionByName(identifiers(spark)).withColumn("random", F.lit(False))
+    return random_strings(spark).withColumn("random", F.lit(True)).unionByName(ordinary)
 
 
 def train(samples: DataFrame) -> np.ndarray:

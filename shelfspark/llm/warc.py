@@ -110,6 +110,8 @@ def parse_record(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
         if not colon:
             raise ValueError("broken header line")
         head[name.strip().lower()] = value.strip()
+    if not {"warc-type", "warc-record-id"} <= head.keys():
+        raise ValueError("required header missing")
     size = head.get("content-length", "")
     if not size.isascii() or not size.isdigit():
         raise ValueError("no length")
