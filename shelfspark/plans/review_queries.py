@@ -85,10 +85,10 @@ def membership_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.membership_merge(rows.where("l_linenumber < 4"), rows.where("l_linenumber > 2"), rows.where("l_linenumber % 2 = 0"), ["p", "t"])
 
 
-@query("WITH f AS (SELECT floor(o_totalprice / 100) AS content, min(o_orderkey) AS file FROM orders GROUP BY 1 HAVING count(*) = 1), e AS (SELECT floor(l_extendedprice / 100) AS content, min(l_orderkey) AS entry FROM lineitem GROUP BY 1 HAVING count(*) = 1) SELECT content::BIGINT AS content, file, entry FROM f JOIN e USING (content)")
+@query("WITH f AS (SELECT o_custkey * 10 + o_orderkey % 10 AS content, min(o_orderkey) AS file FROM orders GROUP BY 1 HAVING count(*) = 1), e AS (SELECT l_partkey * 10 + l_linenumber AS content, min(l_orderkey) AS entry FROM lineitem GROUP BY 1 HAVING count(*) = 1) SELECT content::BIGINT AS content, file, entry FROM f JOIN e USING (content)")
 def lone_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "orders").select(F.floor(F.col("o_totalprice") / 100).alias("content"), F.col("o_orderkey").alias("file"))
-    entries = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_extendedprice") / 100).alias("content"), F.col("l_orderkey").alias("entry"))
+    files = table(spark, sf_dir, "orders").select((F.col("o_custkey") * 10 + F.col("o_orderkey") % 10).alias("content"), F.col("o_orderkey").alias("file"))
+    entries = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("content"), F.col("l_orderkey").alias("entry"))
     return review.lone_copies(files, entries, "content")
 
 
