@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.storage import stored
+from shelfspark.storage import bounded_batches, stored
 
 WINDOW = 10
 #: Words of the documents in a segment, about; a longer document is a segment of its own.
@@ -97,6 +97,7 @@ def build_index(docs: DataFrame, block: Block, slop: int = 0, id_col: str = "doc
     ``key`` is a 128-bit hash of the text. Written to the shared folder. Positions
     are little-endian 64-bit integers.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     vocabulary, gap = block.vocabulary, WINDOW + slop + 1
     of_length = {}

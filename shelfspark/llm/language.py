@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.storage import stored
+from shelfspark.storage import bounded_batches, stored
 
 #: Hashed n-gram features.
 FEATURES = 1 << 14
@@ -113,6 +113,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["lang", "f", "n"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     sums = stored(rows.mapInArrow(run, "lang string, f int, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")), "language-counts")
     languages = [r[0] for r in sums.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
@@ -165,6 +166,7 @@ def identify(docs: DataFrame, model: Model, extra: list[str] | None = None, id_c
     ``und`` with score 0 for a null text, one without a letter, or if no language
     was learned. Only the text is used. An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), *(extra or []), F.col(text_col).alias("text__"))
     found = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("ambiguous", T.BooleanType())]
     schema = T.StructType([*rows.schema.fields[:-1], *(T.StructField(*f) for f in found)])

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.llm.tokens import encoder, vocabulary_path
-from shelfspark.storage import stored
+from shelfspark.storage import bounded_batches, stored
 
 CAPACITY = 2048
 #: A rest of fewer ids is not cut again.
@@ -114,6 +114,7 @@ def pack(
     an empty result.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     buckets = buckets or max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = stored(pieces_of(docs, vocabulary or vocabulary_path(), end_id, capacity, tail, buckets, id_col, text_col), "packing-pieces")
     sizes = rows.groupBy("k", "bucket").agg(F.count("*").alias("n"))  # at most classes x buckets rows

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.storage import bounded_batches
+
 # The patterns and least lengths of the query's contract.
 ASSIGN = re.compile(
     "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -157,6 +159,7 @@ def find_secrets(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", tex
     One pass without a shuffle. A null or empty text has none; each row yields a
     row whatever its id; other columns are ignored; an empty table gives none.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

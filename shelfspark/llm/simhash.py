@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.operators.graph import connected_components
-from shelfspark.storage import stored
+from shelfspark.storage import bounded_batches, stored
 
 BITS = 64
 TAU = 2
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([simhash(x.as_py(), shingle) for x in b.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], names=["id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("id", kind), T.StructField("fp", T.LongType())])
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)

@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, pre_tokenizers
 
-from shelfspark.storage import new_path, stored
+from shelfspark.storage import bounded_batches, new_path, stored
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens of a worker's newer generation; those not met again for so many are forgotten.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: First code point that always goes to the library.
 BEYOND = 0x250
 
@@ -122,6 +122,7 @@ def token_counts(
     by digest when read.
     """
     spark, path = docs.sparkSession, vocabulary or vocabulary_path()
+    bounded_batches(spark)
     version, where = tokenizer_version(path), cache or new_path(spark, "token-cache")
     spark.createDataFrame([], CACHE).write.mode("append").parquet(where)  # there may be none yet
     text = F.coalesce(F.col(text_col), F.lit(""))
