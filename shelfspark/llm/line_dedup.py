@@ -1,5 +1,9 @@
 """Removal of repeated runs of lines, by winnowing over line hashes.
 
+A line that holds several sentences counts as several lines: each ends after ``.``,
+``!`` or ``?`` and the spaces that follow, so that a passage is found where it stands
+inside a longer line too. Blanks at the end of a line are not compared.
+
 A window is a run of consecutive lines that just reaches ``min_words`` words,
 counted forward from its first line or backward from its last. The least line
 hash of a window is its fingerprint: equal runs hold equal windows, so they share
@@ -10,7 +14,7 @@ as far as it goes; the ranges are merged and deleted.
 
 A line is deleted exactly if some run of consecutive lines that holds it, has
 ``min_words`` words or more and equals one that begins earlier. Everything is
-expressed with DataFrame functions.
+expressed with DataFrame functions; windows are formed within the document's row.
 """
 
 from __future__ import annotations
@@ -20,37 +24,52 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MIN_WORDS = 50
+#: a sentence with the spaces after it, or what is left of a line with its newline
+LINE = r"[^\n]*?[.!?] +|[^\n]*\n|[^\n]+"
+
+
+def _lines(text: str) -> F.Column:
+    """The lines of a text; put together again they are the text."""
+    return F.regexp_extract_all(text, F.lit(LINE), F.lit(0))
 
 
 def _windows(docs: DataFrame, min_words: int) -> DataFrame:
     """(id, h, start, end, fp, content): the windows of all documents; start and end are line numbers."""
     texts = docs.where(F.length("text") >= 2 * min_words - 1)  # others have fewer words
-    lines = texts.select("id", "h", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.select("id", "h", "pos", F.regexp_count("line", F.lit(r"\S+")).alias("words"), F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b"))
-    doc = W.partitionBy("id", "h")
-    lines = lines.where("words > 0")
-    # a row that is there twice gives every line twice
-    once = lines.withColumn("again", F.lag("pos").over(doc.orderBy("pos")).eqNullSafe(F.col("pos"))).where(~F.col("again"))
-    summed = once.withColumn("until", F.sum("words").over(doc.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
-    summed = summed.withColumn("since", F.col("until") - F.col("words"))
-    line = F.struct("pos", "a", "b", "words", "since", "until")
-    ahead = F.collect_list(line).over(doc.orderBy("since").rangeBetween(0, min_words - 1))
-    back = F.collect_list(line).over(doc.orderBy("until").rangeBetween(1 - min_words, 0))
-    runs = summed.select("id", "h", ahead.alias("ahead"), back.alias("back"))
-
-    def window(c: str) -> F.Column:
-        first, last = F.col(c)[0], F.element_at(c, -1)
-        least = F.array_min(F.transform(c, lambda x: x["a"]))
-        content = F.xxhash64(F.transform(c, lambda x: x["b"]))
+
+    def line(x: F.Column, at: F.Column) -> F.Column:
+        bare = F.rtrim(x, F.lit(" \n"))
+        words = F.regexp_count(x, F.lit(r"\S+")).cast("long")
+        return F.struct(at.alias("pos"), words.alias("words"), F.xxhash64(bare).alias("a"), F.xxhash64(bare, F.lit(1)).alias("b"))
+
+    lines = texts.select("id", "h", F.filter(F.transform(_lines("text"), line), lambda x: x["words"] > 0).alias("lines"))
+    base = min_words + 1  # words and lines of a window in one number: no window has more lines than min_words
+
+    def reach(run: F.Column) -> F.Column:
+        step = lambda n, x: F.when(n < min_words * base, n + x["words"] * base + 1).otherwise(n)
+        return F.aggregate(run, F.lit(0).cast("long"), step)
+
+    def forward(x: F.Column, i: F.Column) -> F.Column:
+        n = reach(F.slice(F.col("lines"), i + 1, min_words))
+        return F.transform(F.array(n), lambda n: F.when(n >= min_words * base, F.struct((i + 1).alias("at"), (n % base).cast("int").alias("n"))))
+
+    def backward(x: F.Column, i: F.Column) -> F.Column:
+        n = reach(F.reverse(F.slice(F.col("lines"), F.greatest(i + 2 - min_words, F.lit(1)), F.least(i + 1, F.lit(min_words)))))
+        # one that also falls short without its last line is a forward window already
+        far = lambda n: n - x["words"] * base >= min_words * base
+        return F.transform(F.array(n), lambda n: F.when(far(n), F.struct((i + 2 - n % base).cast("int").alias("at"), (n % base).cast("int").alias("n"))))
+
+    spans = F.concat(F.flatten(F.transform("lines", forward)), F.flatten(F.transform("lines", backward)))
+    lines = lines.select("id", "h", "lines", F.filter(spans, lambda x: x.isNotNull()).alias("spans"))
+
+    def window(x: F.Column) -> F.Column:
+        run = F.slice(F.col("lines"), x["at"], x["n"])
+        first, last = F.element_at(F.col("lines"), x["at"]), F.element_at(F.col("lines"), x["at"] + x["n"] - 1)
+        least = F.array_min(F.transform(run, lambda y: y["a"]))
+        content = F.xxhash64(F.transform(run, lambda y: y["b"]))
         return F.struct(first["pos"].alias("start"), last["pos"].alias("end"), least.alias("fp"), content.alias("content"))
 
-    total = lambda c: F.element_at(c, -1)["until"] - F.col(c)[0]["since"]
-    forward = F.when(total("ahead") >= min_words, F.array(window("ahead")))
-    # one that also falls short without its last line is a forward window already
-    backward = F.when((total("back") >= min_words) & (total("back") - F.element_at("back", -1)["words"] >= min_words), F.array(window("back")))
-    none = F.array().cast("array<struct<start:int,end:int,fp:bigint,content:bigint>>")
-    both = F.concat(F.coalesce(forward, none), F.coalesce(backward, none))
-    return runs.select("id", "h", F.explode(both).alias("w")).select("id", "h", "w.*")
+    return lines.select("id", "h", F.explode(F.transform("spans", window)).alias("w")).select("id", "h", "w.*")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -71,29 +90,38 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its texts cleaned, and two more columns: ``runs__`` (deleted ranges, or null) and ``lines__``.
 
-    Lines end at a newline and are compared whole; lines without a word match
-    nothing but go with a run around them. The earliest occurrence of a run, by
-    id (null first), text hash and line, stays. Rows with the same id and text
-    count as one document and are cleaned alike. A null text stays null; an empty
-    table gives an empty result; other columns are passed on.
+    Lines end at a newline or after a sentence; those without a word match nothing
+    but go with a run around them. The earliest occurrence of a run, by id (null
+    first), text hash and line, stays. Where a run ends a line that it does not
+    begin, the line's newline stays. Rows with the same id and text count as one
+    document and are cleaned alike. A null text stays null; an empty table gives an
+    empty result; other columns are passed on.
     """
     runs = repeated_runs(docs, min_words, id_col, text_col).select(F.struct("id", "h").alias("doc__"), F.col("runs").alias("runs__"))
-    rows = docs.withColumn("lines__", F.split(text_col, "\n")).withColumn("own__", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")))
+    rows = docs.withColumn("own__", F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")))
     rows = rows.join(runs, F.col("own__").eqNullSafe(F.col("doc__")), "left").drop("own__", "doc__")
+    rows = rows.withColumn("lines__", _lines(text_col))
+    lines = F.col("lines__")
     begins = F.concat(F.array(F.lit(0)), F.transform("runs__", lambda r: r["end"] + 1))
-    ends = F.concat(F.transform("runs__", lambda r: r["start"]), F.array(F.size("lines__")))
-    left = F.flatten(F.zip_with(begins, ends, lambda a, z: F.slice(F.col("lines__"), a + 1, z - a)))
-    return rows.withColumn(text_col, F.when(F.col("runs__").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n")))
+    ends = F.concat(F.transform("runs__", lambda r: r["start"]), F.array(F.size(lines)))
+    # what stands before a line, if that is the first after a run
+    cut = lambda a: (a > 0) & F.get(lines, a - 1).endswith("\n")
+    pieces = F.zip_with(begins, ends, lambda a, z: F.struct(cut(a).alias("cut"), F.array_join(F.slice(lines, a + 1, z - a), "").alias("text")))
+    grow = lambda t, p: F.concat(t, F.when(p["cut"] & (t != "") & ~t.endswith("\n"), "\n").otherwise(""), p["text"])
+    left = F.aggregate(pieces, F.lit(""), grow)
+    open_end = (F.element_at("runs__", -1)["end"] == F.size(lines) - 1) & ~F.element_at(lines, -1).endswith("\n")
+    left = F.when(open_end, F.regexp_replace(left, r"\n\z", "")).otherwise(left)
+    return rows.withColumn(text_col, F.when(F.col("runs__").isNull(), F.col(text_col)).otherwise(left))
 
 
 def op2(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, runs (start-end of deleted lines) and the kept text's digest and words, of every document."""
+    """doc_id, n_lines, n_removed, runs (start-end of deleted lines) and the kept text's digest, of every document."""
     rows = dedup_lines(docs.select("doc_id", "text"))
     runs = F.coalesce("runs__", F.array().cast("array<struct<start:int,end:int>>"))
     gone = F.aggregate(runs, F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"] + 1)
     listed = F.array_join(F.transform(runs, lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string"))), ",")
-    n_lines = F.coalesce(F.size("lines__"), F.lit(0)).cast("long")
-    return rows.select("doc_id", F.greatest(n_lines, F.lit(0)).alias("n_lines"), gone.alias("n_removed"), listed.alias("runs"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    n_lines = F.when(F.col("lines__").isNull(), 0).otherwise(F.size("lines__")).cast("long")
+    return rows.select("doc_id", n_lines.alias("n_lines"), gone.alias("n_removed"), listed.alias("runs"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -105,8 +133,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 # Windows as above, found by joining each line with those that follow it; texts and ids are compared as they are.
 OP2_SQL = r"""
-WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
-split AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS pos FROM docs),
+WITH docs AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*?[.!?] +|[^\n]*\n|[^\n]+') AS parts FROM documents),
+split AS (
+  SELECT doc_id, part, rtrim(part, ' ' || chr(10)) AS line, pos
+  FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS pos FROM docs)
+),
 lines AS (
   SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS until,
     row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n
@@ -128,8 +159,15 @@ lines AS (
   FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM gone) GROUP BY doc_id, g
 ), listed AS (
   SELECT doc_id, sum(n)::BIGINT AS n, string_agg(start || '-' || stop, ',' ORDER BY start) AS runs FROM islands GROUP BY doc_id
+), newlines AS (
+  SELECT i.doc_id, i.stop AS pos, chr(10) AS part
+  FROM islands i JOIN docs d USING (doc_id) WHERE i.start > 0 AND NOT ends_with(parts[i.start], chr(10)) AND ends_with(parts[i.stop + 1], chr(10))
+), whole AS (
+  SELECT doc_id, string_agg(part, '' ORDER BY pos) AS text
+  FROM (SELECT doc_id, pos, part FROM split ANTI JOIN gone USING (doc_id, pos) UNION ALL SELECT doc_id, pos, part FROM newlines) GROUP BY doc_id
 ), kept AS (
-  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM split ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+  SELECT w.doc_id, CASE WHEN g.pos IS NOT NULL AND NOT ends_with(parts[-1], chr(10)) THEN regexp_replace(w.text, '\n$', '') ELSE w.text END AS text
+  FROM whole w JOIN docs d USING (doc_id) LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.pos = len(parts) - 1
 )
 SELECT doc_id, coalesce(len(parts), 0)::BIGINT AS n_lines, coalesce(listed.n, 0)::BIGINT AS n_removed, coalesce(listed.runs, '') AS runs,
   sha256(coalesce(kept.text, '')) AS text_sha256

@@ -63,3 +63,13 @@ def test_passage_and_clean_text(spark):
 def test_native_plan(spark, sf):
     plan = line_dedup.op2(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert not [x for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "NestedLoop") if x in plan]
+
+
+def test_passage_inside_longer_lines(spark):
+    passage = " ".join(" ".join(f"p{k}x{j}" for j in range(13)) + "." for k in range(4))  # 52 words in 4 sentences
+    rows = [(1, f"Own one. {passage} Own end."), (2, f"First here! Then {passage} no"), (3, f"Other text. {passage}"), (4, f"Before. {passage}\nAfter.\n{passage}")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # in document 2 the first sentence of the passage is another sentence, and 39 words are too few
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: "Other text. ", 4: "Before. \nAfter."}
+    text = "a. b?  c\n\n  d! \nno end "
+    assert spark.createDataFrame([(text,)], "t string").select(line_dedup._lines("t")).first()[0] == ["a. ", "b?  ", "c\n", "\n", "  d! ", "\n", "no end "]
