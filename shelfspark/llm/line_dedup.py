@@ -24,6 +24,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MIN_WORDS = 50
+#: so many lines are tried before the most that a window can have
+NEAR = 8
 #: a sentence with the spaces after it, or what is left of a line with its newline
 LINE = r"[^\n]*?[.!?] +|[^\n]*\n|[^\n]+"
 
@@ -45,27 +47,33 @@ def _windows(docs: DataFrame, min_words: int) -> DataFrame:
     lines = texts.select("id", "h", F.filter(F.transform(_lines("text"), line), lambda x: x["words"] > 0).alias("lines"))
     base = min_words + 1  # words and lines of a window in one number: no window has more lines than min_words
 
-    def reach(run: F.Column) -> F.Column:
+    def reach(i: F.Column, most: int) -> F.Column:
         step = lambda n, x: F.when(n < min_words * base, n + x["words"] * base + 1).otherwise(n)
-        return F.aggregate(run, F.lit(0).cast("long"), step)
+        return F.aggregate(F.slice(F.col("lines"), i + 1, most), F.lit(0).cast("long"), step)
 
     def forward(x: F.Column, i: F.Column) -> F.Column:
-        n = reach(F.slice(F.col("lines"), i + 1, min_words))
-        return F.transform(F.array(n), lambda n: F.when(n >= min_words * base, F.struct((i + 1).alias("at"), (n % base).cast("int").alias("n"))))
+        """How many lines from line i on reach min_words; 0 if the text ends before."""
+        full = lambda n: n >= min_words * base
+        near = F.array(reach(i, NEAR))
+        n = F.get(F.transform(near, lambda n: F.when(full(n), n).otherwise(reach(i, min_words))), F.lit(0))
+        return F.get(F.transform(F.array(n), lambda n: F.when(full(n), n % base).otherwise(0).cast("int")), F.lit(0))
 
-    def backward(x: F.Column, i: F.Column) -> F.Column:
-        n = reach(F.reverse(F.slice(F.col("lines"), F.greatest(i + 2 - min_words, F.lit(1)), F.least(i + 1, F.lit(min_words)))))
-        # one that also falls short without its last line is a forward window already
-        far = lambda n: n - x["words"] * base >= min_words * base
-        return F.transform(F.array(n), lambda n: F.when(far(n), F.struct((i + 2 - n % base).cast("int").alias("at"), (n % base).cast("int").alias("n"))))
+    lines = lines.select("id", "h", "lines", F.transform("lines", forward).alias("need"))
 
-    spans = F.concat(F.flatten(F.transform("lines", forward)), F.flatten(F.transform("lines", backward)))
-    lines = lines.select("id", "h", "lines", F.filter(spans, lambda x: x.isNotNull()).alias("spans"))
+    def spans(n: F.Column, i: F.Column) -> F.Column:
+        # a window counted backward to a later last line begins at i too if the next line's forward window ends after that line
+        after = F.coalesce(F.get("need", i + 1), F.lit(0))
+        last = F.when(after == 0, F.size("lines") - i).otherwise(F.greatest(n, after))
+        some = F.transform(F.sequence(n, last), lambda k: F.struct((i + 1).alias("at"), k.alias("n")))
+        return F.when(n > 0, some).otherwise(F.array().cast("array<struct<at:int,n:int>>"))
+
+    lines = lines.select("id", "h", "lines", F.flatten(F.transform("need", spans)).alias("spans"))
 
     def window(x: F.Column) -> F.Column:
         run = F.slice(F.col("lines"), x["at"], x["n"])
         first, last = F.element_at(F.col("lines"), x["at"]), F.element_at(F.col("lines"), x["at"] + x["n"] - 1)
         least = F.array_min(F.transform(run, lambda y: y["a"]))
+        least = F.shiftright(F.shiftleft(least, 32), 32).cast("int")  # its low 32 bits, beside the content's 64
         content = F.xxhash64(F.transform(run, lambda y: y["b"]))
         return F.struct(first["pos"].alias("start"), last["pos"].alias("end"), least.alias("fp"), content.alias("content"))
 
@@ -77,7 +85,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "do
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     found = _windows(rows, min_words)
     place = F.struct("id", "h", "start")
-    shared = found.groupBy("fp", "content").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
+    shared = found.groupBy("fp", "content").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     repeats = found.join(shared, ["fp", "content"]).where(place != F.col("first")).select("id", "h", "start", "end")
     doc = W.partitionBy("id", "h").orderBy("start", "end")
     reach = F.max("end").over(doc.rowsBetween(W.unboundedPreceding, -1))
