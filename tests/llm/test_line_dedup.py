@@ -1,13 +1,30 @@
 import random
+import re
 
 from shelfspark.llm import line_dedup
 
 
+def split(text):
+    """Lines, cut after sentences too; put together again they are the text."""
+    lines = [x + "\n" for x in text.split("\n")]
+    lines[-1] = lines[-1][:-1]
+    return [x for line in lines for x in re.sub(r"([.!?] +)(?=[^ ])", "\\1\0", line).split("\0") if x]
+
+
+def without(parts, dead):
+    out = ""
+    for k, x in enumerate([*parts, ""]):
+        if k and k - 1 in dead and k not in dead and parts[k - 1].endswith("\n") and out and not out.endswith("\n"):
+            out += "\n"  # the end of a line that the deleted run did not begin
+        out += "" if k in dead else x
+    return out[:-1] if out.endswith("\n") and len(parts) - 1 in dead and not parts[-1].endswith("\n") else out
+
+
 def brute(docs, min_words):
     """Kept text by row: try every run of lines of every document against all earlier ones."""
     order = sorted({(d is not None, d or 0, t) for d, t in docs if t is not None})
     seen, gone = {}, {}
-    lines = [[(k, x) for k, x in enumerate(t.split("\n")) if x.split()] for *_, t in order]
+    lines = [[(k, x.rstrip(" \n")) for k, x in enumerate(split(t)) if x.split()] for *_, t in order]
     for i, own in enumerate(lines):
         for a in range(len(own)):
             words = 0
@@ -23,13 +40,13 @@ def brute(docs, min_words):
                 words += len(own[z][1].split())
                 if words >= min_words and seen[tuple(x for _, x in own[a : z + 1])] < (i, own[a][0]):
                     dead.update(range(own[a][0], own[z][0] + 1))
-        gone[order[i]] = "\n".join(x for k, x in enumerate(order[i][2].split("\n")) if k not in dead)
+        gone[order[i]] = without(split(order[i][2]), dead)
     return sorted(((d is None, d or 0, None if t is None else gone[d is not None, d or 0, t]) for d, t in docs), key=repr)
 
 
 def test_against_brute_force(spark):
     r = random.Random(4)
-    pool = ["a b", "c", "d e f", "", "g h i j", "k l", "m", "  ", "n o p q r"]
+    pool = ["a b", "c", "d e f", "u v. w x! y ", "w x! d e. f", "", "g h i j", "k l", "m", "  ", "n o p q r"]
     for seed in range(4):
         passages = [[r.choice(pool) for _ in range(r.randrange(2, 6))] for _ in range(4)]
         docs = []
