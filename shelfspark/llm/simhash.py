@@ -221,15 +221,3 @@ def op5(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
     )
-
-
-def distinct_documents(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of each component of near-duplicates, the row with the least doc_id.
-
-    A null id counts as the least. Of rows that share the least id, that with the
-    least text hash stays, and of repeated rows one.
-    """
-    own = F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
-    rows = docs.select(own.alias("own__"), F.struct(*docs.columns).alias("row__"))
-    least = near_duplicates(docs.select(own.alias("id"), "text"), "id").where("id = component").select("id").distinct()
-    return rows.join(least, F.col("own__").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["own__"]).select("row__.*")
