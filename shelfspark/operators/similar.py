@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def mean_vector(vectors: DataFrame, column: str) -> list[float]:
@@ -74,31 +74,47 @@ def cut_points(rows: DataFrame, value: str, n: int = 101) -> DataFrame:
     return cuts.select(F.posexplode("cuts").alias("k", "cut"))
 
 
+def learnable(rows: DataFrame, label: str = "label", least: int = 10) -> dict:
+    """The labels of at least ``least`` rows, in order, each with its number of rows."""
+    sizes = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return {r[0]: r["n"] for r in sizes.orderBy(label).collect()}
+
+
 def genre_model(rows: DataFrame, label: str = "label", column: str = "embedding", least: int = 10):
-    """One-vs-rest logistic model of the labels with enough rows, on standardised vectors; null if fewer than two."""
-    sizes = rows.groupBy(label).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    labels = [r[0] for r in sizes.orderBy(label).select(label).limit(1001).collect()]
-    if len(labels) < 2:
+    """One-vs-rest logistic model of the labels with enough rows, on standardised vectors; null if fewer than two.
+
+    Each label is fitted with balanced weights: its rows together count as much as all the others.
+    """
+    sizes = learnable(rows, label, least)
+    if len(sizes) < 2:
         return None
-    index = F.create_map(*[F.lit(x) for i, v in enumerate(labels) for x in (v, float(i))])
-    train = rows.where(F.col(label).isin(labels)).select(array_to_vector(column).alias("raw"), index[F.col(label)].alias("y"))
-    n = train.count()
-    scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True)
-    model = OneVsRest(classifier=LogisticRegression(featuresCol="x", labelCol="y", regParam=10.0 / n, maxIter=300, standardization=False), featuresCol="x", labelCol="y")
-    return labels, Pipeline(stages=[scaler, model]).fit(train)
+    n, kind = sum(sizes.values()), rows.schema[label].dataType
+    known = rows.sparkSession.createDataFrame([(v,) for v in sizes], T.StructType([T.StructField(label, kind)]))
+    train = rows.join(F.broadcast(known), label).select(array_to_vector(column).alias("raw"), F.col(label).alias("own"))
+    scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(train)
+    train = scaler.transform(train).select("x", "own").persist()
+    method = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=10.0 / n, maxIter=300, standardization=False)
+    models = []
+    for v, inside in sizes.items():
+        own = F.col("own") == F.lit(v)
+        weight = F.when(own, n / (2.0 * inside)).otherwise(n / (2.0 * (n - inside)))
+        models.append(method.fit(train.select("x", own.cast("double").alias("y"), weight.alias("w"))))
+    train.unpersist()
+    return list(sizes), kind, scaler, models
 
 
 def guesses(model, rows: DataFrame, column: str = "embedding", most: int = 3, least: float = 0.30) -> DataFrame:
     """Adds ``guesses``: the labels whose sigmoid is at least ``least``, best first."""
-    labels, fitted = model
-    scaler, ovr = fitted.stages
-    weights = np.array([m.coefficients.toArray() for m in ovr.models])
+    labels, kind, scaler, models = model
+    weights = np.array([m.coefficients.toArray() for m in models])
     scale = np.where(scaler.std.toArray() > 1e-6, scaler.std.toArray(), np.inf)
     w = weights / scale
-    bias = np.array([m.intercept for m in ovr.models]) - w @ scaler.mean.toArray()
-    scores = [
-        F.struct((-1 / (1 + F.exp(-(_dot(F.col(column).cast("array<double>"), F.array(*map(F.lit, w[i].tolist()))) + float(bias[i]))))).alias("s"), F.lit(label).alias("label"))
-        for i, label in enumerate(labels)
-    ]
-    best = F.filter(F.slice(F.array_sort(F.array(*scores)), 1, most), lambda g: g["s"] <= -least)
-    return rows.withColumn("guesses", F.transform(best, lambda g: F.struct(g["label"].alias("label"), (-g["s"]).alias("share"))))
+    bias = np.array([m.intercept for m in models]) - w @ scaler.mean.toArray()
+    fields = T.StructType().add("label", kind).add("bias", T.DoubleType()).add("w", T.ArrayType(T.DoubleType()))
+    table = [(v, float(bias[i]), w[i].tolist()) for i, v in enumerate(labels)]  # one row, however many labels
+    one = rows.sparkSession.createDataFrame([(table,)], T.StructType().add("models__", T.ArrayType(fields)))
+    score = lambda m: -1 / (1 + F.exp(-(_dot(F.col(column).cast("array<double>"), m["w"]) + m["bias"])))
+    scores = F.transform("models__", lambda m: F.struct(score(m).alias("s"), m["label"].alias("label")))
+    rows = rows.crossJoin(F.broadcast(one))
+    best = F.filter(F.slice(F.array_sort(scores), 1, most), lambda g: g["s"] <= -least)
+    return rows.withColumn("guesses", F.transform(best, lambda g: F.struct(g["label"].alias("label"), (-g["s"]).alias("share")))).drop("models__")
