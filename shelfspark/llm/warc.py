@@ -128,53 +128,80 @@ def parse_record(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
     return end + 4, head, block
 
 
-def inflate(data: bytes, at: int) -> tuple[int, bytes]:
-    """(end, content) of the gzip member at an offset."""
+def inflate(data: bytes, at: int) -> tuple[int, bytes, str]:
+    """(end, content, "") of the gzip member at an offset; of one that the file's end cuts off what it still yields, and why it failed."""
     d = zlib.decompressobj(31)
     try:
         out = d.decompress(memoryview(data)[at:])
     except zlib.error as e:
-        raise ValueError(f"gzip: {e}") from None
-    if not d.eof:
-        raise ValueError("gzip: truncated")
-    return len(data) - len(d.unused_data), out
+        return at, b"", f"gzip: {e}"
+    return len(data) - len(d.unused_data), out, "" if d.eof else "gzip: truncated"
 
 
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes, str]]:
+def _used(data: bytes, at: int, size: int) -> int:
+    """The offset up to which a member is read for its first ``size`` bytes of content."""
+    d = zlib.decompressobj(31)
+    d.decompress(memoryview(data)[at:], max(size - 1, 1))  # the last byte would take the checksum along
+    return len(data) - len(d.unconsumed_tail)
+
+
+def salvage(data: bytes, members: bool = True) -> Iterator[tuple[str, int, int, dict[str, str], bytes, str]]:
     """("record", start, end, headers, block, "") and ("gap", start, end, {}, b"", reason), covering all bytes in order.
 
     Offsets are those of the file; the records of one gzip member share its range.
     A gap ends where the next record or member passes every check, or at the end.
+    The content of a member, and what one cut off by the file's end still yields, is searched in the
+    same way: its bad parts are one gap with the member's range before its good
+    records, and the reason gives their offsets in the content. A cut member
+    with good records ends where the next record or member begins; one whose data or
+    checksum is wrong is a gap.
     """
     at, lost, reason, zipped, plain = 0, None, "", -1, -1
+    held: list[tuple[dict[str, str], bytes]] = []  # good records of a cut member, which begins at lost
+
+    def closed(end: int) -> Iterator[tuple[str, int, int, dict[str, str], bytes, str]]:
+        yield "gap", lost, end, {}, b"", reason
+        for head, block in held:
+            yield "record", lost, end, head, block, ""
+
     while at < len(data):
-        try:
-            if data.startswith(GZIP, at):
-                end, inner = inflate(data, at)
-                found, pos = [], 0
-                while pos < len(inner):
-                    pos, head, block = parse_record(inner, pos)
-                    found.append((head, block))
-            else:
+        found, bad, search = [], "", at + 1
+        if members and data.startswith(GZIP, at):
+            end, inner, failed = inflate(data, at)
+            parts = list(salvage(inner, False))
+            found = [(p[3], p[4]) for p in parts if p[0] == "record"]
+            bad = "; ".join([*filter(None, [failed]), *(f"content {p[1]}-{p[2]}: {p[5]}" for p in parts if p[0] == "gap")])
+            if failed and found:
+                if lost is not None:
+                    yield from closed(at)
+                lost, reason, held = at, bad, found
+                search = max(at + 1, _used(data, at, max(p[2] for p in parts if p[0] == "record")))
+            whole = not failed and (bool(found) or not bad)
+        else:
+            try:
                 end, head, block = parse_record(data, at)
-                found = [(head, block)]
-        except ValueError as e:
+                found, whole = [(head, block)], True
+            except ValueError as e:
+                bad, whole = str(e), False
+        if not whole:
             if lost is None:
-                lost, reason = at, str(e)
-            if zipped <= at:
-                zipped = data.find(GZIP, at + 1) % (len(data) + 1)  # the length if there is none
-            if plain <= at:
-                plain = m.start() if (m := START.search(data, at + 1)) else len(data)
+                lost, reason, held = at, bad, []
+            if zipped < search:
+                zipped = data.find(GZIP, search) % (len(data) + 1)  # the length if there is none
+            if plain < search:
+                plain = m.start() if (m := START.search(data, search)) else len(data)
             at = min(zipped, plain)
             continue
         if lost is not None:
-            yield "gap", lost, at, {}, b"", reason
-            lost = None
+            yield from closed(at)
+            lost, held = None, []
+        if bad:
+            yield "gap", at, end, {}, b"", bad
         for head, block in found:
             yield "record", at, end, head, block, ""
         at = end
     if lost is not None:
-        yield "gap", lost, len(data), {}, b"", reason
+        yield from closed(len(data))
 
 
 READ = (

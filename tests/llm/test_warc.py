@@ -101,3 +101,16 @@ def test_damaged_archive(spark, tmp_path):
     assert warc.pages_read(found).count() == df.count()
     blocks = found.where("kind = 'record' AND block IS NOT NULL").count()
     assert blocks == df.count()
+
+
+def test_salvage_inside_gzip_members():
+    recs = [record(k, random.Random(k).randbytes(400)) for k in range(5)]
+    bad = bytearray(recs[2])
+    bad[-40] ^= 1
+    one = gzip.compress(b"".join([*recs[:2], bytes(bad), *recs[3:]]))  # its checksum holds
+    assert ids(one + recs[0]) == (list("01340"), [(0, len(one))])
+    at = sum(map(len, recs[:2]))
+    assert [x[5] for x in warc.salvage(one) if x[0] == "gap"] == [f"content {at}-{at + len(bad)}: block digest"]
+    for level in (0, 6):  # cut off in the last record; level 0 keeps the records readable in the file
+        cut = gzip.compress(b"".join(recs), level)[:-200]
+        assert ids(recs[4] + cut) == (list("40123"), [(len(recs[4]), len(recs[4]) + len(cut))])
