@@ -63,17 +63,22 @@ def _stretches(rows: DataFrame, min_words: int) -> DataFrame:
     their words to g. Stretches that follow and equal it (as in text of one word) are
     left out: up to the next other stretch there are ``most`` windows.
     """
-    strip = max(1, 2 * min_words // 7)
-    wide = min_words - strip + 1
+    wide = 1 << max(1, 2 * min_words // 3).bit_length() - 1  # a power of two takes the fewest steps
+    strip = min_words - wide + 1
     low = (1 << PLACE) - 1
 
+    position = lambda x: x.bitwiseAND(F.lit(low)).cast("int")
+
     def cut(words: F.Column, least: F.Column) -> F.Column:
         n = F.size(words) - (min_words - 1)
-        starts = F.transform(least, lambda x, i: F.when((i < n) & ((i == 0) | (x != F.get(least, i - 1))), i).otherwise(-1))
 
-        def stretch(s: F.Column, k: F.Column) -> F.Column:
-            at = F.get(least, s).bitwiseAND(F.lit(low)).cast("int")
-            fp = F.xxhash64(F.slice(words, at + 1, strip))
+        def start(chosen: F.Column, x: F.Column, j: F.Column) -> F.Column:
+            """The first window of a selection: a lesser hash comes in at the end, or the one before goes out."""
+            before = F.get(chosen, j - 1)
+            return F.when(j == 0, 0).when(x < before, position(x) - (wide - 1)).otherwise(position(before) + 1)
+
+        def stretch(x: F.Column, s: F.Column, k: F.Column) -> F.Column:
+            fp = F.xxhash64(F.slice(words, position(x) + 1, strip))
             return F.struct(fp.alias("fp"), F.xxhash64(F.slice(words, s + 1, k + (min_words - 1))).alias("g"), s.alias("s"), k.alias("k"))
 
         def differs(x: F.Column, before: F.Column) -> F.Column:
@@ -82,13 +87,13 @@ def _stretches(rows: DataFrame, min_words: int) -> DataFrame:
         def ends(z: F.Column) -> F.Column:
             return F.transform(z, lambda x, j: F.struct(*(x[c].alias(c) for c in ("fp", "g", "s", "k")), (F.coalesce(F.get(z, j + 1)["s"], n) - x["s"]).alias("most")))
 
-        return _let(
-            F.filter(starts, lambda i: i >= 0),
-            lambda b: _let(
-                F.transform(b, lambda s, j: stretch(s, F.coalesce(F.get(b, j + 1), n) - s)),
-                lambda z: _let(F.filter(z, lambda x, j: (j == 0) | differs(x, F.get(z, j - 1))), ends),
-            ),
-        )
+        def stretches(chosen: F.Column) -> F.Column:
+            starts = F.transform(chosen, lambda x, j: start(chosen, x, j))
+            return _let(starts, lambda b: F.transform(chosen, lambda x, j: stretch(x, F.get(b, j), F.coalesce(F.get(b, j + 1), n) - F.get(b, j))))
+
+        others = lambda z: F.filter(z, lambda x, j: (j == 0) | differs(x, F.get(z, j - 1)))
+        chosen = F.array_distinct(F.slice(least, 1, F.greatest(n, F.lit(0))))
+        return _let(_let(_let(chosen, stretches), others), ends)
 
     def winnow(words: F.Column) -> F.Column:
         order = F.transform(words, lambda x, i: F.xxhash64(x).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
