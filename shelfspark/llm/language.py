@@ -9,7 +9,7 @@ training row, in one pass and one aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,8 +23,6 @@ from shelfspark.storage import bounded_batches, stored
 #: Hashed n-gram features.
 FEATURES = 1 << 14
 GRAMS = (1, 2, 3)
-#: Languages so many at most may be learned; more is an error, not a cut.
-MOST_LANGUAGES = 500
 UNKNOWN = "und"
 #: Nats by which the best codeword must beat the next for an unambiguous answer.
 MARGIN = 1.0
@@ -34,18 +32,27 @@ LEAST_SCORE = 0.51
 CHUNK = 1 << 18
 
 
+#: Signs from U+00AA on that are no letters: first and last of ranges.
+SIGNS = np.array([[0xAB, 0xB4], [0xB6, 0xB9], [0xBB, 0xBF], [0xD7, 0xD7], [0xF7, 0xF7], [0x2000, 0x206F], [0x2190, 0x27BF], [0x3000, 0x3004], [0x3008, 0x3020], [0xFF00, 0xFF20]])
+
+
 def features(text: str) -> np.ndarray:
-    """Counts of hashed n-grams of a whole text's words, in lower case; other characters are blanks."""
+    """Counts of hashed n-grams of a whole text's words, in lower case; other characters are blanks.
+
+    A long text is worked on in pieces. The last code points of a piece are put before
+    the next, so the counts are those of the text in one piece.
+    """
     counts = np.zeros(FEATURES, np.int64)
-    overlap = max(GRAMS) - 1
-    for at in range(0, max(len(text), 1), CHUNK):
-        part = text[max(at - overlap, 0) : at + CHUNK]
-        skip = min(at, overlap)
-        part = f" {part.lower()} " if at == 0 else part.lower()
+    last = np.array([32], np.uint64)
+    for at in range(0, len(text) + 1, CHUNK):
+        # a final sigma is the only letter whose lower case hangs on its neighbours
+        part = text[at : at + CHUNK].replace("\u03a3", "\u03c3").lower() + (" " if at + CHUNK > len(text) else "")
         c = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        letter = (c >= 0xAA) | ((c >= 97) & (c <= 122))
-        c = np.where(letter, c, np.uint64(32))
-        c = c[np.append(True, (c[1:] != 32) | (c[:-1] != 32))] if len(c) else c
+        sign = (np.searchsorted(SIGNS[:, 0], c, "right") - np.searchsorted(SIGNS[:, 1], c, "left")) > 0
+        letter = ((c >= 0xAA) & ~sign) | ((c >= 97) & (c <= 122))
+        c = np.concatenate([last, np.where(letter, c, np.uint64(32))])
+        new = np.append(np.ones(len(last), bool), (c[len(last) :] != 32) | (c[len(last) - 1 : -1] != 32))
+        c = c[new]
         for n in GRAMS:
             if len(c) < n:
                 continue
@@ -57,8 +64,9 @@ def features(text: str) -> np.ndarray:
                 blank &= x == 32
             h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 14)
             keep = ~blank
-            keep[: max(skip - n + 1, 0)] = False  # n-grams of the chunk before
+            keep[: max(len(last) - n + 1, 0)] = False  # n-grams of the piece before
             counts += np.bincount(h[keep].astype(np.intp), minlength=FEATURES)
+        last = c[-(max(GRAMS) - 1) :]
     return counts
 
 
@@ -76,7 +84,8 @@ def codewords(n: int) -> np.ndarray:
     for _ in range(50):
         code = rng.integers(0, 2, (n, bits), dtype=np.int8)
         code = code[:, (code.sum(0) > 0) & (code.sum(0) < n)]
-        far = (code[:, None, :] != code[None, :, :]).sum(2)
+        signs = code * 2.0 - 1
+        far = (code.shape[1] - signs @ signs.T) / 2
         np.fill_diagonal(far, bits)
         if far.min() > best[0]:
             best = (far.min(), code)
@@ -116,31 +125,39 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     bounded_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     sums = stored(rows.mapInArrow(run, "lang string, f int, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")), "language-counts")
-    languages = [r[0] for r in sums.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    counts = np.zeros((len(languages), FEATURES))
-    code_of = {lang: i for i, lang in enumerate(languages)}
+    languages = [r[0] for r in sums.select("lang").distinct().orderBy("lang").collect()]
     packed = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("f", "n"))).alias("c"))
-    for r in packed.toLocalIterator():  # a language at a time, FEATURES counts at most
-        counts[code_of[r["lang"]], [x["f"] for x in r["c"]]] = [x["n"] for x in r["c"]]
-    return fit(languages, counts)
 
+    def counts() -> Iterator[tuple[str, np.ndarray]]:
+        for r in packed.toLocalIterator():  # a language at a time, FEATURES counts at most
+            own = np.zeros(FEATURES)
+            own[[x["f"] for x in r["c"]]] = [x["n"] for x in r["c"]]
+            yield r["lang"], own
 
-def fit(languages: list[str], counts: np.ndarray) -> Model:
-    """The model of n-gram counts by language; every language weighs the same."""
+    return fit(languages, counts())
+
+
+def fit(languages: list[str], counts: Iterable[tuple[str, np.ndarray]]) -> Model:
+    """The model of n-gram counts by language, taken one by one in any order; every language weighs the same.
+
+    What is held grows with the code's bits, some ten for each doubling of the languages.
+    """
     if len(languages) < 2:
         return Model(languages, np.ones((len(languages), 1)), np.zeros((FEATURES, 1)), np.ones(1))
-    code = codewords(len(languages))
-    rate = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-    floor = 0.5 / max(counts.sum(1).mean(), 1)
-    log = np.empty((FEATURES, code.shape[1]))
-    trust = np.empty(code.shape[1])
-    for b in range(code.shape[1]):
-        one, zero = rate[code[:, b] == 1].mean(0) + floor, rate[code[:, b] == 0].mean(0) + floor
-        log[:, b] = np.log(one) - np.log(zero)
-        # mean margin per n-gram on the right side: how far the two classes' counts lie apart
-        trust[b] = ((one - zero) * log[:, b]).sum() / 2
+    code, row, total = codewords(len(languages)), {lang: i for i, lang in enumerate(languages)}, 0.0
+    one, both = np.zeros((FEATURES, code.shape[1])), np.zeros(FEATURES)
+    for lang, own in counts:
+        rate = own / max(own.sum(), 1)
+        total += own.sum()
+        both += rate
+        one += np.outer(rate, code[row[lang]])
+    ones = code.sum(0)
+    floor = 0.5 / max(total / len(languages), 1)
+    zero = np.maximum(both[:, None] - one, 0) / (len(languages) - ones) + floor
+    one = one / ones + floor
+    log = np.log(one) - np.log(zero)
+    # mean margin per n-gram on the right side: how far the two classes' counts lie apart
+    trust = ((one - zero) * log).sum(0) / 2
     return Model(languages, code * 2.0 - 1, log, trust / max(trust.mean(), 1e-12))
 
 

@@ -15,6 +15,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,12 @@ END = "\r\n\r\n"
 LEAST_BYTES = 100
 #: Repeated payloads (about 100 bytes each) so many at most are broadcast.
 BROADCAST_ROWS = 200_000
-#: Records in a file at most, so that a file can be read at once.
-FILE_RECORDS = 4_000
+#: Payload bytes in a file at most (one larger payload has a file of its own), so that a file can be read at once.
+FILE_BYTES = 1 << 26
+#: Payloads of up to so many bytes share files; larger ones have files of their own.
+BANDS = (1 << 12, 1 << 16, 1 << 20, 1 << 24)
+#: A gzip member is inflated to so many bytes at most; what follows counts as cut off.
+MEMBER_BYTES = 1 << 29
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP = b"\x1f\x8b\x08"
@@ -40,7 +45,7 @@ def _uri(id_: F.Column) -> F.Column:
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_BYTES) -> DataFrame:
-    """(value): the WARC record of each page, without the blank lines that end it.
+    """(value, size): the WARC record of each page, without the blank lines that end it, and its payload's bytes.
 
     Of pages with equal payloads of ``least`` bytes or more, those with the
     smallest id hold the payload and the others refer to it; a null id is never
@@ -76,13 +81,24 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
-    return rows.select(F.concat(head, block).alias("value"))
+    return rows.select(F.concat(head, block).alias("value"), "size")
 
 
-def write_archives(pages: DataFrame, path: str, file_records: int = FILE_RECORDS, **columns: str) -> None:
-    """Write the records of ``pages`` as WARC files of at most ``file_records`` below ``path``."""
-    out = records(pages, **columns).write.option("lineSep", END).option("maxRecordsPerFile", file_records)
-    out.text(path)
+def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, bands: tuple[int, ...] = BANDS, **columns: str) -> None:
+    """Write the records of ``pages`` as WARC files of at most ``file_bytes`` of payload below ``path``.
+
+    Each band of payload sizes is written by itself, with as many records in a file
+    as fit if all are the largest of the band; bands without a page are left out.
+    """
+    size = F.octet_length(F.coalesce(F.col(columns.get("html_col", "html")), F.lit("")))
+    band = reduce(lambda c, k: c.when(size <= bands[k], k), range(1, len(bands)), F.when(size <= bands[0], 0)).otherwise(len(bands))
+    found = sorted(r[0] for r in pages.select(band.alias("band")).distinct().collect())  # a row for each band
+    rows = records(pages, **columns)
+    for k in found or [0]:
+        low, high = (bands[k - 1] if k else -1), (bands[k] if k < len(bands) else None)
+        some = rows.where((F.col("size") > low) & (F.lit(True) if high is None else F.col("size") <= high))
+        each = max(1, file_bytes // high) if high else 1
+        some.select("value").write.mode("append").option("lineSep", END).option("maxRecordsPerFile", each).text(path)
 
 
 def _digest_holds(want: str | None, data: bytes) -> bool:
@@ -132,10 +148,10 @@ def inflate(data: bytes, at: int) -> tuple[int, bytes, str]:
     """(end, content, "") of the gzip member at an offset; of one that the file's end cuts off what it still yields, and why it failed."""
     d = zlib.decompressobj(31)
     try:
-        out = d.decompress(memoryview(data)[at:])
+        out = d.decompress(memoryview(data)[at:], MEMBER_BYTES)
     except zlib.error as e:
         return at, b"", f"gzip: {e}"
-    return len(data) - len(d.unused_data), out, "" if d.eof else "gzip: truncated"
+    return len(data) - len(d.unused_data), out, "" if d.eof else "gzip: too large" if d.unconsumed_tail else "gzip: truncated"
 
 
 def _used(data: bytes, at: int, size: int) -> int:
@@ -225,7 +241,9 @@ def read_archives(spark: SparkSession, path: str, blocks: bool = True) -> DataFr
     in a task's memory at a time, so files should be of bounded size, as
     ``write_archives`` makes them.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!._]*").load(path)
+    own = spark.newSession()  # so that its setting is no other query's
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a file a batch
+    files = own.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!._]*").load(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema(
@@ -248,24 +266,22 @@ def read_archives(spark: SparkSession, path: str, blocks: bool = True) -> DataFr
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kinds)], schema=kinds)
 
-    name, was = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set(name, "1")  # a file a batch
-    try:
-        return stored(files.select("path", "content").mapInArrow(run, READ), "warc-records")
-    finally:
-        spark.conf.set(name, was)
+    out = new_path(spark, "warc-records")
+    files.select("path", "content").mapInArrow(run, READ).write.parquet(out)
+    return spark.read.schema(READ).parquet(out)
 
 
 def pages_read(found: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to): the page records among those read.
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, record_id): the page records among those read.
 
     The size and digest of a response are those of its payload as read; a revisit
-    has them in its record. A record without a page's id has a null id.
+    has them in its record. A record whose id is not a page's number has a null
+    page_id; record_id is the id as it stands.
     """
     head = lambda name: F.try_element_at("headers", F.lit(name))
-    page = lambda name: F.nullif(F.regexp_extract(F.coalesce(head(name), F.lit("")), "^<urn:page:(.*)>$", 1), F.lit("")).cast("long")
+    page = lambda name: F.nullif(F.regexp_extract(F.coalesce(head(name), F.lit("")), "^<urn:page:(.*)>$", 1), F.lit("")).try_cast("long")
     rows = found.where("kind = 'record'").withColumn("type", head("warc-type")).where(F.col("type").isin("response", "revisit"))
-    told = F.regexp_extract("http", r"(?im)^Content-Length: *([0-9]+)\r?$", 1).cast("long")
+    told = F.regexp_extract("http", r"(?im)^Content-Length: *([0-9]+)\r?$", 1).try_cast("long")
     fresh = F.col("type") == "response"
     return rows.select(
         page("warc-record-id").alias("page_id"),
@@ -273,6 +289,7 @@ def pages_read(found: DataFrame) -> DataFrame:
         F.when(fresh, F.col("payload_digest")).otherwise(F.regexp_replace(head("warc-payload-digest"), "^sha256:", "")).alias("payload_digest"),
         F.col("type").alias("record_type"),
         page("warc-refers-to").alias("refers_to"),
+        head("warc-record-id").alias("record_id"),
     )
 
 
@@ -280,7 +297,7 @@ def op10(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every page, read back from archives."""
     path = new_path(pages.sparkSession, "warc")
     write_archives(pages, path)
-    return pages_read(read_archives(pages.sparkSession, path, blocks=False))
+    return pages_read(read_archives(pages.sparkSession, path, blocks=False)).drop("record_id")
 
 
 OP10_SQL = """

@@ -16,15 +16,58 @@ def test_codewords():
             assert ((code.sum(0) > 0) & (code.sum(0) < n)).all()
 
 
-def test_features_of_chunks():
-    text = "Übermäßig lange Texte, 12 words " * 60
-    whole = language.features(text)
-    old, language.CHUNK = language.CHUNK, 97
-    try:
-        parts = language.features(text)
-    finally:
-        language.CHUNK = old
-    assert abs(parts - whole).sum() < 0.05 * whole.sum()
+def naive(text):
+    """The n-gram counts, character by character."""
+    signs = {c for a, z in language.SIGNS for c in range(a, z + 1)}
+    out, c = np.zeros(language.FEATURES, np.int64), [32]
+    for x in "".join("\u03c3" if x == "\u03a3" else x.lower() for x in text) + " ":
+        x = ord(x) if "a" <= x <= "z" or (ord(x) >= 0xAA and ord(x) not in signs) else 32
+        if x != 32 or c[-1] != 32:
+            c.append(x)
+    for n in language.GRAMS:
+        for k in range(len(c) - n + 1):
+            h = 0
+            for x in c[k : k + n]:
+                h = (h * 0x100000001B3 + x) % 2**64
+            if set(c[k : k + n]) != {32}:
+                out[h * 0x9E3779B97F4A7C15 % 2**64 >> 50] += 1
+    return out
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 5, 97, 1 << 18])
+def test_features_of_any_chunks(monkeypatch, chunk):
+    monkeypatch.setattr(language, "CHUNK", chunk)
+    for text in ("", "a", " ", "\u00dcberm\u00e4\u00dfig lange Texte, 12   words " * 9, "\u0130stanbul e\u0301\u0301 \u039f\u03a3\u03a3\u039f\u03a3 \u00ab\u2019x\u00bb", "ab" * 60):
+        assert (language.features(text) == naive(text)).all()
+
+
+def test_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    sums = {}
+    for r in rows:
+        if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang is not None and any(map(str.isalpha, r.text or "")):
+            sums[r.lang] = sums.get(r.lang, 0) + language.features(r.text)
+    langs = sorted(sums)
+    code = language.codewords(len(langs))
+    rate = np.array([sums[x] / sums[x].sum() for x in langs])
+    floor = 0.5 / np.mean([sums[x].sum() for x in langs])
+    log, trust = [], []
+    for b in range(code.shape[1]):
+        one, zero = rate[code[:, b] == 1].mean(0) + floor, rate[code[:, b] == 0].mean(0) + floor
+        log.append(np.log(one / zero))
+        trust.append(((one - zero) * log[-1]).sum())
+    trust = np.array(trust) / np.mean(trust)
+    got = {r.doc_id: r for r in language.op8(docs).collect()}
+    for r in rows:
+        if not any(map(str.isalpha, r.text or "")):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+            continue
+        margin = [language.features(r.text) @ x / 3 for x in log]
+        loss = [sum(t * np.logaddexp(0, -(2.0 * c - 1) * m) for t, c, m in zip(trust, word, margin)) / max(1, code.shape[1] / 2) for word in code]
+        best = int(np.argmin(loss))
+        assert got[r.doc_id].lang_pred == langs[best]
+        assert got[r.doc_id].score == pytest.approx(1 / sum(np.exp(loss[best] - x) for x in loss))
 
 
 def test_held_out_accuracy(spark, sf):
@@ -58,7 +101,9 @@ def test_edges(spark):
     assert {r.lang_pred for r in none} == {"und"}
 
 
-def test_too_many_languages(spark, monkeypatch):
-    monkeypatch.setattr(language, "MOST_LANGUAGES", 1)
-    with pytest.raises(ValueError):
-        language.learn(spark.createDataFrame([("aa", "x"), ("bb", "y")], "text string, lang string"))
+def test_many_languages(spark):
+    rows = [(chr(0x4E00 + k) * 20, f"l{k:04d}") for k in range(700)]
+    model = language.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.languages) == 700
+    hit = sum(model.languages[language.decode(model, language.features(t))[0]] == lang for t, lang in rows)
+    assert hit > 0.9 * len(rows)

@@ -1,6 +1,6 @@
 import corpus_pipeline
 from shelfspark.llm import language
-from tests.llm import test_decontaminate, test_line_dedup, test_packing, test_simhash
+from tests.llm import test_decontaminate, test_line_dedup, test_packing, test_shingle_dedup
 
 
 def test_stages_against_brute_force(spark, sf):
@@ -27,9 +27,7 @@ def test_stages_against_brute_force(spark, sf):
 
     now = step[2](spark, now, sf)
     assert now.columns == docs.columns
-    ids = list(kept)
-    parts = test_simhash.brute_components(ids, [test_simhash.brute_fp(kept[i]) for i in ids])
-    kept = {i: kept[i] for i, c in zip(ids, parts) if i == c}
+    kept = {i: kept[i] for i, c in test_shingle_dedup.brute(list(kept.items())).items() if i == c}
     assert {r.doc_id: r.text for r in now.collect()} == kept
 
     now = step[3](spark, now, sf)
