@@ -4,7 +4,7 @@ import decimal
 import duckdb
 import pytest
 
-from shelfspark.plans import review_queries  # noqa: F401  registers its queries
+import __spark_entry__  # noqa: F401  registers the queries
 from shelfspark.plans.queries import QUERIES, SQL
 from tests.conftest import SF
 
