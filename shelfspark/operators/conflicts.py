@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +45,10 @@ def handling(decision: Column) -> Column:
 
 
 def sides(app: DataFrame, external: DataFrame, base: DataFrame, replaced: DataFrame, keys: tuple[str, str] = ("track", "field")) -> DataFrame:
-    """(track, field, app, external, base, replaced): what each of four tables (track, field, value) says, null where it says nothing."""
-    out = None
-    for name, side in (("app", app), ("external", external), ("base", base), ("replaced", replaced)):
-        side = side.select(*keys, F.col("value").alias(name))
-        out = side if out is None else out.join(side, list(keys), "full")
-    return out
+    """(track, field, app, external, base, replaced): what each of four tables (track, field, value) says, null where it says nothing; a field of a track has one row in each."""
+    named = {"app": app, "external": external, "base": base, "replaced": replaced}
+    rows = functools.reduce(DataFrame.union, [side.select(*keys, F.lit(name).alias("side__"), "value") for name, side in named.items()])
+    return rows.groupBy(*keys).agg(*(F.max(F.when(F.col("side__") == name, F.col("value"))).alias(name) for name in named))
 
 
 def detect(all_sides: DataFrame) -> DataFrame:
