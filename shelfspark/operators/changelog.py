@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["entity", "id", "field"]
@@ -19,13 +19,27 @@ def as_of(changes: DataFrame, seq: int) -> DataFrame:
 
 
 def undo(changes: DataFrame, operation: int) -> DataFrame:
-    """(entity, id, field, value, allowed): the fields an operation changed and what they would get back.
+    """(entity, id, field, value, clash, allowed): the fields an operation changed and what they would get back.
 
-    A field that a later operation changed refuses, and one that refuses stops the whole undo.
+    A field that a later operation changed clashes, and one that clashes stops the whole undo.
     """
     own = changes.where((F.col("operation") == operation) & ~F.col("undone"))
     mine = own.groupBy(*KEY).agg(F.min_by("before", "seq").alias("value"), F.max("seq").alias("last"))
     later = changes.where((F.col("operation") != operation) & ~F.col("undone")).select(*KEY, F.col("seq").alias("other"))
     clash = mine.join(later, KEY).where("other > last").select(*KEY).distinct().withColumn("clash", F.lit(True))
-    out = mine.join(clash, KEY, "left").select(*KEY, "value", F.col("clash").isNull().alias("allowed"))
-    return out
+    stopped = F.broadcast(clash.select(F.lit(False).alias("allowed")).limit(1))  # one row or none
+    out = mine.join(clash, KEY, "left").join(stopped, F.lit(True), "left")
+    return out.select(*KEY, "value", F.col("clash").isNotNull().alias("clash"), F.coalesce("allowed", F.lit(True)).alias("allowed"))
+
+
+def append(changes: DataFrame, operation: int, new: DataFrame) -> DataFrame:
+    """``changes`` with an operation's values ``new(entity, id, field, after)`` that differ from what stands now.
+
+    Numbers go on from the last one, by entity, id and field.
+    """
+    now = as_of(changes, 1 << 62).withColumnRenamed("value", "before")
+    moved = new.join(now, KEY, "left").where(~F.col("after").eqNullSafe(F.col("before")))
+    last = F.broadcast(changes.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last")))
+    place = F.row_number().over(Window.orderBy(*KEY))  # one operation's rows
+    rows = moved.join(last).select((F.col("last") + place).alias("seq"), F.lit(operation).alias("operation"), *KEY, "before", "after", F.lit(False).alias("undone"))
+    return changes.unionByName(rows.select(*(F.col(c).cast(changes.schema[c].dataType).alias(c) for c in changes.columns)))

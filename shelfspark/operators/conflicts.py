@@ -38,10 +38,7 @@ def comparison_key(field: Column, value: Column) -> Column:
 
 
 def handling(decision: Column) -> Column:
-    out = None
-    for name, done in HANDLING.items():
-        out = F.when(decision == name, done) if out is None else out.when(decision == name, done)
-    return out
+    return F.try_element_at(F.create_map(*[F.lit(x) for p in HANDLING.items() for x in p]), decision)
 
 
 def sides(app: DataFrame, external: DataFrame, base: DataFrame, replaced: DataFrame, keys: tuple[str, str] = ("track", "field")) -> DataFrame:

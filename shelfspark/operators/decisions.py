@@ -7,21 +7,34 @@ from pyspark.sql import functions as F
 
 # Limits of the quality verdict.
 LOW_KBPS, MP3_KBPS, MP3_CUTOFF, LOSSLESS_CUTOFF = 190, 254, 17_000, 19_500
-#: Rows of the pair table: audio cases, name relations, outcome.
+# The pair table, one row a case: audio cases, name relations, outcome.
+#: ``artists``: one title, and the artists differ.
 PAIR_TABLE = (
     ("identical", "*", "duplicate"),
     ("full", "same", "duplicate"),
+    ("full", "artists", "duplicate"),
     ("full", "cut", "cut"),
-    ("full", "rework unclear mashup", "review"),
-    ("inside", "same cut unclear", "cut"),
-    ("inside", "rework title", "review"),
+    ("full", "rework", "review"),
+    ("full", "unclear", "review"),
+    ("full", "mashup", "review"),
+    ("inside", "same", "cut"),
+    ("inside", "artists", "cut"),
+    ("inside", "cut", "cut"),
+    ("inside", "unclear", "cut"),
+    ("inside", "rework", "review"),
+    ("inside", "title", "review"),
     ("inside partial", "mashup", "rework"),
-    ("partial", "same unclear artists", "review"),
+    ("partial", "same", "review"),
+    ("partial", "unclear", "review"),
+    ("partial", "artists", "review"),
     ("partial none uncompared unknown", "cut", "cut"),
     ("partial none uncompared unknown", "rework", "rework"),
     ("none", "same", "different"),
-    ("uncompared unknown", "same", "review"),
-    ("none uncompared unknown", "artists mashup unclear", "different"),
+    ("uncompared", "same", "review"),
+    ("unknown", "same", "review"),
+    ("none uncompared unknown", "artists", "different"),
+    ("none uncompared unknown", "mashup", "different"),
+    ("none uncompared unknown", "unclear", "different"),
     ("partial none uncompared unknown", "title", "different"),
 )
 
@@ -46,13 +59,19 @@ def audio_case(identical: Column, cover_a: Column, cover_b: Column, score: Colum
     )
 
 
-def pair_outcome(audio: Column, names: Column, truncated: Column, same_labels: Column) -> Column:
-    """Outcome of a pair: the first row of the table that applies, after the two exceptions for copies."""
-    out = F.when((audio == "full") & (names == "title") & same_labels, "duplicate")
-    out = out.when((audio == "inside") & (names == "same") & truncated, "duplicate")
+def pair_outcome(audio: Column, names: Column, truncated: Column, labels: Column) -> Column:
+    """Outcome of a pair: the first row of the table that applies, after two exceptions.
+
+    ``labels`` is what the version labels alone say (same, cut, rework or null). Under another
+    title with full audio they decide; with one file inside the other they do so if they name
+    a cut or a rework. A cut-off copy of the same name, the artists agreeing, is a duplicate.
+    """
+    says = (audio == "full") & labels.isNotNull() | (audio == "inside") & labels.isin("cut", "rework")
+    relation = F.when((names == "title") & F.coalesce(says, F.lit(False)), labels).otherwise(names)
+    out = F.when((audio == "inside") & (names == "same") & truncated, "duplicate")
     for cases, relations, outcome in PAIR_TABLE:
         fits = audio.isin(cases.split())
-        out = out.when(fits if relations == "*" else fits & names.isin(relations.split()), outcome)
+        out = out.when(fits if relations == "*" else fits & (relation == relations), outcome)
     return out.otherwise("review")
 
 

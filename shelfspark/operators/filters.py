@@ -88,14 +88,21 @@ def _one(c: dict[str, Any]) -> Column:
     if field == "inCrate":
         return _bit(IN_CRATE, op == "is")
     if field == "tag":
-        return F.array_contains("tags", value) if op == "has" else ~F.coalesce(F.array_contains("tags", value), F.lit(False))
+        has = F.coalesce(F.array_contains("tags", value), F.lit(False))
+        if op == "has":
+            return has
+        # a tag that does not exist matches nothing, either way
+        return F.array_contains("known_tags", value) & ~has
     if field == "inExternal":
         return _bit(EXTERNAL, op == "is")
     raise ValueError(f"no such field: {field}")
 
 
 def rule(r: dict[str, Any]) -> Column:
-    """A smart rule ``{combine: all|any, conditions}``; without conditions nothing matches, nor does a missing value."""
+    """A smart rule ``{combine: all|any, conditions}``; without conditions nothing matches, nor does a missing value.
+
+    Conditions on tags read the columns ``tags`` (the row's) and ``known_tags`` (all that exist).
+    """
     parts = [F.coalesce(_one(c), F.lit(False)) for c in r["conditions"]]
     if len(parts) > MOST_CONDITIONS:
         raise ValueError(f"more than {MOST_CONDITIONS} conditions")

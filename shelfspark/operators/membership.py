@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.operators import filters
+from shelfspark.storage import stored
 
 
 def smart_members(rows: DataFrame, rule: dict[str, Any], always: DataFrame, never: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def descendants(nodes: DataFrame, most: int = 64) -> DataFrame:
     found = up
     step = nodes.where("parent is not null").select(F.col("node").alias("ancestor"), F.col("parent").alias("next"))
     for depth in range(2, most + 1):
-        up = up.join(step, "ancestor").select("node", F.col("next").alias("ancestor"), F.lit(depth).alias("depth"))
+        up = stored(up.join(step, "ancestor").select("node", F.col("next").alias("ancestor"), F.lit(depth).alias("depth")), "tree-level")
         if up.isEmpty():
             return found
         found = found.unionByName(up)

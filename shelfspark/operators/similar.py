@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfspark.storage import stored
+
 
 def mean_vector(vectors: DataFrame, column: str) -> list[float]:
     """Mean of each dimension: one aggregation, one row of the vectors' length."""
@@ -34,23 +36,28 @@ def sounds_like(vectors: DataFrame, target: int, most: int = 25, id_col: str = "
     return top.select(F.col("id").alias(id_col), F.round("cosine", 6).alias("cosine"), percent.alias("percent"))
 
 
-def mid_ranks(rows: DataFrame, value: str, out: str, parts: int | None = None) -> DataFrame:
-    """Adds the mid-rank (share below, ties half) of each row's value among the known ones; null stays null.
+def _places(rows: DataFrame, value: str, parts: int | None = None) -> DataFrame:
+    """(value, n__, low__, total__) of the different known values: how many rows have it, how many have less, and all.
 
-    Values are counted first and only the different ones are put in order, in
-    ranges: a running sum within each range, and the ranges' totals before it.
+    Values are counted first and put in order in ranges: a running sum within each
+    range, and the ranges' totals before it. The ranges are written, since a range's
+    number must be the same wherever it is read.
     """
     n_parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n__"))
-    ranged = counts.repartitionByRange(n_parts, value).withColumn("part__", F.spark_partition_id())
+    ranged = stored(counts.repartitionByRange(n_parts, value).withColumn("part__", F.spark_partition_id()), "ranges")
     before = F.sum("n__").over(Window.partitionBy("part__").orderBy(value)) - F.col("n__")
-    ranged = ranged.withColumn("low__", before)
-    totals = ranged.groupBy("part__").agg(F.sum("n__").alias("all__"))
+    totals = ranged.groupBy("part__").agg(F.sum("n__").alias("all__"))  # a row for each range
     totals = totals.withColumn("base__", F.coalesce(F.sum("all__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     totals = totals.withColumn("total__", F.sum("all__").over(Window.partitionBy()))
-    ranks = ranged.join(F.broadcast(totals), "part__")
-    low = F.col("low__") + F.col("base__")
-    ranks = ranks.select(value, ((low + low + F.col("n__")) / 2 / F.col("total__")).alias(out))
+    placed = ranged.withColumn("low__", before).join(F.broadcast(totals), "part__")
+    return placed.select(value, "n__", (F.col("low__") + F.col("base__")).alias("low__"), "total__")
+
+
+def mid_ranks(rows: DataFrame, value: str, out: str, parts: int | None = None) -> DataFrame:
+    """Adds the mid-rank (share below, ties half) of each row's value among the known ones; null stays null."""
+    low = F.col("low__")
+    ranks = _places(rows, value, parts).select(value, ((low + low + F.col("n__")) / 2 / F.col("total__")).alias(out))
     return rows.join(ranks, value, "left")
 
 
@@ -69,9 +76,26 @@ def energy_score(rows: DataFrame, features: list[str]) -> DataFrame:
 
 
 def cut_points(rows: DataFrame, value: str, n: int = 101) -> DataFrame:
-    """(k, cut): interpolated percentiles of a column."""
-    cuts = rows.agg(F.percentile(value, F.array(*(F.lit(k / (n - 1)) for k in range(n)))).alias("cuts"))
-    return cuts.select(F.posexplode("cuts").alias("k", "cut"))
+    """(k, cut): interpolated percentiles of a column; an empty one has none.
+
+    Each different value knows which of the n places between the least and the
+    greatest fall on its rows, so only the values at those places go on.
+    """
+    last, step = F.lit(n - 1).cast("long"), F.col("total__") - 1
+    low, high = F.col("low__"), F.col("low__") + F.col("n__")
+    up = lambda x: F.ceil(x * last / step)
+    down = lambda x: F.floor(x * last / step)
+    within = lambda a, z: F.filter(F.sequence(F.greatest(a, F.lit(0)), F.least(z, last) + 1), lambda k: k <= F.least(z, last))
+    every = F.sequence(F.lit(0).cast("long"), last)
+    some = lambda a, z: F.when(step == 0, every).when(F.greatest(a, F.lit(0)) <= F.least(z, last), within(a, z)).otherwise(F.array().cast("array<bigint>"))
+    ends = F.concat(
+        F.transform(some(up(low), up(high) - 1), lambda k: F.struct(k.alias("k"), F.lit(False).alias("upper"))),
+        F.transform(some(down(low - 1) + 1, down(high - 1)), lambda k: F.struct(k.alias("k"), F.lit(True).alias("upper"))),
+    )
+    found = _places(rows, value).select(value, (F.col("total__") - 1).alias("step"), F.explode(ends).alias("e"))
+    both = found.groupBy("e.k", "step").agg(F.min(F.when(~F.col("e.upper"), F.col(value))).alias("a"), F.min(F.when(F.col("e.upper"), F.col(value))).alias("b"))
+    place = F.col("k") * F.col("step") / last
+    return both.select(F.col("k").cast("int").alias("k"), (F.col("a") + (F.col("b") - F.col("a")) * (place - F.floor(place))).alias("cut"))
 
 
 def learnable(rows: DataFrame, label: str = "label", least: int = 10) -> dict:

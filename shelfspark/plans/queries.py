@@ -428,18 +428,20 @@ AUDIO, NAMES = ("identical", "full", "inside", "partial", "none", "uncompared",
 
 
 @query(
-    "WITH t(audio, names, outcome) AS (VALUES ('full', 'same', 'duplicate'), ('full', 'cut', 'cut'), ('full', 'rework', 'review'), ('full', 'unclear', 'review'), ('full', 'mashup', 'review'), ('full', 'title', 'review'), ('full', 'artists', 'review'), "
-    "('inside', 'same', 'cut'), ('inside', 'cut', 'cut'), ('inside', 'unclear', 'cut'), ('inside', 'rework', 'review'), ('inside', 'title', 'review'), ('inside', 'mashup', 'rework'), ('inside', 'artists', 'review'), "
+    "WITH t(audio, names, outcome) AS (VALUES ('full', 'same', 'duplicate'), ('full', 'cut', 'cut'), ('full', 'rework', 'review'), ('full', 'unclear', 'review'), ('full', 'mashup', 'review'), ('full', 'title', 'review'), ('full', 'artists', 'duplicate'), "
+    "('inside', 'same', 'cut'), ('inside', 'cut', 'cut'), ('inside', 'unclear', 'cut'), ('inside', 'rework', 'review'), ('inside', 'title', 'review'), ('inside', 'mashup', 'rework'), ('inside', 'artists', 'cut'), "
     "('partial', 'mashup', 'rework'), ('partial', 'same', 'review'), ('partial', 'unclear', 'review'), ('partial', 'artists', 'review'), ('partial', 'cut', 'cut'), ('partial', 'rework', 'rework'), ('partial', 'title', 'different'), ('none', 'same', 'different'), ('uncompared', 'same', 'review'), ('unknown', 'same', 'review')), "
     "a AS (SELECT unnest(['none', 'uncompared', 'unknown']) AS audio), n AS (SELECT unnest(['cut', 'rework', 'artists', 'mashup', 'unclear', 'title']) AS names), "
     "f AS (SELECT * FROM t UNION ALL SELECT audio, names, CASE WHEN names IN ('cut', 'rework') THEN names ELSE 'different' END FROM a, n UNION ALL SELECT 'identical', unnest(['same', 'cut', 'rework', 'unclear', 'mashup', 'title', 'artists']), 'duplicate'), "
-    f"l AS (SELECT {list(AUDIO)}[l_partkey % 7 + 1] AS audio, {list(NAMES)}[l_suppkey % 7 + 1] AS names, l_linenumber % 2 = 0 AS truncated, l_linenumber % 3 = 0 AS labels FROM lineitem) "
-    "SELECT audio, names, CASE WHEN audio = 'full' AND names = 'title' AND labels OR audio = 'inside' AND names = 'same' AND truncated THEN 'duplicate' ELSE outcome END AS outcome, count(*) AS n FROM l JOIN f USING (audio, names) GROUP BY ALL"
+    f"l AS (SELECT {list(AUDIO)}[l_partkey % 7 + 1] AS audio, {list(NAMES)}[l_suppkey % 7 + 1] AS names, l_linenumber % 2 = 0 AS truncated, ['same', 'cut', 'rework', 'unclear', NULL][l_linenumber % 5 + 1] AS labels FROM lineitem), "
+    "r AS (SELECT *, CASE WHEN names = 'title' AND (audio = 'full' AND labels IS NOT NULL OR audio = 'inside' AND labels IN ('cut', 'rework')) THEN labels ELSE names END AS rel FROM l) "
+    "SELECT r.audio, r.names, CASE WHEN r.audio = 'inside' AND r.names = 'same' AND truncated THEN 'duplicate' ELSE outcome END AS outcome, count(*) AS n FROM r JOIN f ON f.audio = r.audio AND f.names = r.rel GROUP BY ALL"
 )
 def pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda names, c: F.element_at(F.array(*map(F.lit, names)), (F.col(c) % 7 + 1).cast("int"))
     rows = table(spark, sf_dir, "lineitem").select(pick(AUDIO, "l_partkey").alias("audio"), pick(NAMES, "l_suppkey").alias("names"), "l_linenumber")
-    out = decisions.pair_outcome(F.col("audio"), F.col("names"), F.col("l_linenumber") % 2 == 0, F.col("l_linenumber") % 3 == 0)
+    labels = F.get(F.array(*map(F.lit, ("same", "cut", "rework", "unclear", None))), F.col("l_linenumber") % 5)
+    out = decisions.pair_outcome(F.col("audio"), F.col("names"), F.col("l_linenumber") % 2 == 0, labels)
     return rows.groupBy("audio", "names", out.alias("outcome")).agg(F.count("*").alias("n"))
 
 
@@ -504,16 +506,23 @@ def changelog_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changelog.as_of(_log(spark, sf_dir), 700)
 
 
-@query(f"{LOG_SQL}, o AS (SELECT entity, id, field, arg_min(coalesce(before, chr(1)), seq) AS v, max(seq) AS last FROM c WHERE operation = 152 GROUP BY ALL) SELECT entity, id, field, nullif(v, chr(1)) AS value, NOT EXISTS (SELECT 1 FROM c WHERE c.id = o.id AND c.field = o.field AND c.seq > o.last AND NOT undone AND operation <> 152) AS allowed FROM o")
+@query(f"{LOG_SQL}, o AS (SELECT entity, id, field, arg_min(coalesce(before, chr(1)), seq) AS v, max(seq) AS last FROM c WHERE operation = 152 GROUP BY ALL), x AS (SELECT entity, id, field, nullif(v, chr(1)) AS value, EXISTS (SELECT 1 FROM c WHERE c.id = o.id AND c.field = o.field AND c.seq > o.last AND NOT undone AND operation <> 152) AS clash FROM o) SELECT *, NOT (SELECT bool_or(clash) FROM x) AS allowed FROM x")
 def changelog_undo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changelog.undo(_log(spark, sf_dir), 152)
 
 
-@query("SELECT key, ord::INTEGER AS ord FROM (VALUES ('8A', 16), ('08b', 17), ('12B', 25), ('13A', NULL), ('1m', 16), ('1d', 17), ('6d', 3), ('Am', 16), ('C', 17), ('F#m', 22), ('Gb', 5), ('A minor', 16), ('x', NULL), ('', NULL)) t(key, ord)")
+@query(
+    "WITH k AS (SELECT p_partkey, (p_partkey % 13)::INTEGER AS n, p_size % 5 AS how FROM part) SELECT p_partkey, CASE how WHEN 0 THEN CASE WHEN n BETWEEN 1 AND 12 THEN n * 2 END WHEN 1 THEN CASE WHEN n BETWEEN 1 AND 12 THEN n * 2 + 1 END WHEN 2 THEN CASE WHEN n BETWEEN 1 AND 12 THEN ((n + 6) % 12 + 1) * 2 END "
+    "WHEN 3 THEN [16, 20, 6, 24, 2, 12, 18, 4, 10, 22, 14, 8, NULL][n + 1] ELSE [17, 21, 7, 25, 3, 13, 19, 5, 11, 23, 15, 9, NULL][n + 1] END AS ord FROM k"
+)
 def key_notations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ["8A", "08b", "12B", "13A", "1m", "1d", "6d", "Am", "C", "F#m", "Gb", "A minor", "x", ""]
-    rows = spark.range(len(keys)).select(F.element_at(F.array(*map(F.lit, keys)), (F.col("id") + 1).cast("int")).alias("key"))
-    return rows.select("key", music.any_key_order(F.col("key")).alias("ord"))
+    """Keys in wheel, Open Key and classical notation, built from a table's numbers, read to places on the wheel."""
+    n, how = (F.col("p_partkey") % 13).cast("int"), F.col("p_size") % 5
+    pick = lambda *names: F.get(F.array(*map(F.lit, names)), n)
+    minor = pick("Am", "Bm", "A#m", "C#m", "G# minor", "Gm", "Em", "Eb min", "Cm", "F#m", "D m", "Fm", "Hm")
+    major = pick("C", "D", "Db", "E", "B major", "Bb", "G", "Gb", "Eb", "A", "F", "Ab", "x")
+    raw = F.when(how == 0, F.concat(n.cast("string"), F.lit("A"))).when(how == 1, F.concat(F.lit(" 0"), n.cast("string"), F.lit("b"))).when(how == 2, F.concat(n.cast("string"), F.lit("m"))).when(how == 3, minor).otherwise(major)
+    return table(spark, sf_dir, "part").select("p_partkey", music.any_key_order(raw).alias("ord"))
 
 
 @query("SELECT p_partkey AS id, 'Brand ' || p_brand AS artist, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN 'Mix ' || p_size END AS version FROM part")

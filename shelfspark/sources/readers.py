@@ -40,10 +40,10 @@ def m3u8_sessions(spark: SparkSession, path: str) -> DataFrame:
     ).select("file", "position", "seconds", F.nullif("t.artist", F.lit("")).alias("artist"), F.nullif("t.title", F.lit("")).alias("title"), "path")
 
 
-# Header names of wish lists.
+# Header names of wish lists, the most telling first.
 HEADERS = {
-    "title": ("title", "track", "track name", "song", "name"),
-    "artist": ("artist", "artists", "artist name", "artist name(s)"),
+    "artist": ("artist name(s)", "artist names", "artist name", "artists", "artist"),
+    "title": ("track name", "track title", "title", "song name", "song", "track", "name"),
     "version": ("version", "mix"),
     "isrc": ("isrc",),
 }
