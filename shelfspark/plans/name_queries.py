@@ -26,16 +26,17 @@ def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "WITH c AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, CASE p_size % 5 WHEN 0 THEN ' & ' WHEN 1 THEN ', ' WHEN 2 THEN ' x ' WHEN 3 THEN ' feat. ' ELSE ' ' END AS j, p_size % 5 AS k FROM part) "
-    "SELECT p_partkey, CASE WHEN k < 2 THEN [a, b] WHEN k = 2 THEN [a || ' x ' || b] WHEN k = 3 THEN [a || ' feat. ' || b] ELSE [a || ' ' || b] END AS names, "
-    "list_sort(list_distinct(CASE WHEN k < 4 THEN [a, b, trim(regexp_replace(regexp_replace(replace(a || j || b, '&', ' and '), '[^a-z]+', ' ', 'g'), ' +', ' ', 'g'))] ELSE [a || ' ' || b] END)) AS keys, "
-    "CASE WHEN k = 2 THEN [a, b] END AS mashup, k < 4 OR a = a || ' ' || b AS shares FROM c"
+    "SELECT p_partkey, CASE WHEN k < 2 THEN a || '|' || b WHEN k = 2 THEN a || ' x ' || b WHEN k = 3 THEN a || ' feat. ' || b ELSE a || ' ' || b END AS names, "
+    "array_to_string(list_sort(list_distinct(CASE WHEN k < 4 THEN [a, b, trim(regexp_replace(regexp_replace(replace(a || j || b, '&', ' and '), '[^a-z]+', ' ', 'g'), ' +', ' ', 'g'))] ELSE [a || ' ' || b] END)), '|') AS keys, "
+    "CASE WHEN k = 2 THEN a || '|' || b END AS mashup, k < 4 OR a = a || ' ' || b AS shares FROM c"
 )
 def artist_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, size = table(spark, sf_dir, "part"), F.col("p_size") % 5
     a, b = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
     credit = F.concat(a, F.when(size == 0, " & ").when(size == 1, ", ").when(size == 2, " x ").when(size == 3, " feat. ").otherwise(" "), b)
+    listed = lambda x: F.array_join(x, "|")
     return part.select(
-        "p_partkey", names.split_names(credit).alias("names"), names.artist_keys(credit).alias("keys"), names.mashup_parts(credit).alias("mashup"), names.artists_match(credit, F.upper(a)).alias("shares")
+        "p_partkey", listed(names.split_names(credit)).alias("names"), listed(names.artist_keys(credit)).alias("keys"), listed(names.mashup_parts(credit)).alias("mashup"), names.artists_match(credit, F.upper(a)).alias("shares")
     )
 
 
@@ -97,11 +98,11 @@ TAGS = (
 )
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 = 1 THEN []::VARCHAR[] ELSE ['USABC' || (1000000 + p_partkey % 1000)] END AS isrcs, p_partkey % 7 <> 0 AND NOT (p_size % 2 = 0 AND p_size % 5 > 0) AS no_cover FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 1 THEN '' ELSE 'USABC' || (1000000 + p_partkey % 1000) END AS isrcs, p_partkey % 7 <> 0 AND NOT (p_size % 2 = 0 AND p_size % 5 > 0) AS no_cover FROM part")
 def tag_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = _with(spark, sf_dir, "part", tags=TAGS)
     read = F.when(F.col("p_partkey") % 7 != 0, F.col("tags"))
-    return part.select("p_partkey", names.isrcs_in(F.col("tags")).alias("isrcs"), names.no_cover(read).alias("no_cover"))
+    return part.select("p_partkey", F.array_join(names.isrcs_in(F.col("tags")), ",").alias("isrcs"), names.no_cover(read).alias("no_cover"))
 
 
 @query(
@@ -142,11 +143,10 @@ def lenient_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "WITH p AS (SELECT o_orderkey, list(least(greatest(l_discount * 20 - 0.5, 0), 1) ORDER BY l_linenumber, l_extendedprice) AS a, list(least(greatest(l_quantity / 4 - 1, 1), 10) ORDER BY l_linenumber, l_extendedprice) AS e FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1), "
     "r AS (SELECT o_orderkey, unnest(a) AS a, unnest(e) AS e, generate_subscripts(a, 1) AS i FROM p), l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY o_orderkey, a ORDER BY i DESC) = 1) "
-    "SELECT o_orderkey, list(a ORDER BY a) AS at, list(e ORDER BY a) AS energy FROM l GROUP BY 1"
+    "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY a) - 1 AS place, a AS at, e AS energy FROM l"
 )
 def tidy_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     point = F.struct(F.col("l_linenumber").alias("i"), F.col("l_extendedprice").alias("k"), (F.col("l_discount") * 20 - 0.5).alias("at"), (F.col("l_quantity") / 4 - 1).alias("energy"))
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(point)).alias("points"))
-    tidy = names.tidy_target(F.col("points"))
-    return rows.select("o_orderkey", F.transform(tidy, lambda p: p["at"]).alias("at"), F.transform(tidy, lambda p: p["energy"]).alias("energy"))
+    return rows.select("o_orderkey", F.posexplode(names.tidy_target(F.col("points"))).alias("place", "p")).select("o_orderkey", "place", "p.at", "p.energy")
 
