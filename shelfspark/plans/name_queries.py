@@ -150,3 +150,30 @@ def tidy_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(point)).alias("points"))
     return rows.select("o_orderkey", F.posexplode(names.tidy_target(F.col("points"))).alias("place", "p")).select("o_orderkey", "place", "p.at", "p.energy")
 
+
+
+NAME_ENDS = [" (Extended Mix)", " [8A] (Some Name Remix)", " (ft. Other)", " (www.site.com) [Radio Edit]", " (odd words)", "\uff08Original Mix\uff09", ""]
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end = lambda k: F.get(F.array(*map(F.lit, NAME_ENDS)), (k % len(NAME_ENDS)).cast("int"))
+    size, key = F.col("p_size"), F.col("p_partkey")
+    a = names.parse_name(F.concat(F.upper("p_brand"), F.lit("  &#45; "), "p_name", end(size)))
+    b = names.parse_name(F.concat(F.when(key % 5 == 0, "Nobody").otherwise(F.concat("p_brand", F.lit(" & Else"))), F.lit(" \u2013 "), F.when(key % 7 == 0, "Other").otherwise(F.initcap("p_name")), end(key)))
+    return table(spark, sf_dir, "part").select("p_partkey", a.alias("a"), b.alias("b"))
+
+
+@query(
+    "SELECT p_partkey, upper(p_brand) AS artist, p_name AS title, ['cut/extended', 'rework/remix', '', 'cut/radio', '', 'cut/original', ''][p_size % 7 + 1] AS labels, CASE WHEN p_size % 7 = 1 THEN 'key:8a' ELSE '' END AS asides, CASE WHEN p_size % 7 = 4 THEN 'odd words' ELSE '' END AS unknown FROM part"
+)
+def parsed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = (F.array_join(f"a.{c}", ",").alias(c) for c in ("labels", "asides", "unknown"))
+    return _named(spark, sf_dir).select("p_partkey", "a.artist", "a.title", *cells)
+
+
+@query(
+    "WITH k AS (SELECT p_partkey, p_size % 7 AS x, (p_partkey % 7)::INTEGER AS y, ['cut/extended', 'rework/remix', '', 'cut/radio', '', '', ''] AS l FROM part) "
+    "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'title' WHEN p_partkey % 5 = 0 THEN 'artists' WHEN (x = 1) <> (y = 1) THEN 'rework' WHEN l[x + 1] <> l[y + 1] THEN 'cut' WHEN (x = 4) <> (y = 4) THEN 'unclear' ELSE 'same' END AS relation FROM k"
+)
+def name_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(spark, sf_dir).select("p_partkey", names.name_relation(F.col("a"), F.col("b")).alias("relation"))
