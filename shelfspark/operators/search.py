@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -23,14 +24,11 @@ def query_words(query: str) -> list[list[str]]:
 
 def matches(query: str, columns: list[str]) -> Column:
     """Whether each word (its tokens one after another, the last as a prefix) occurs in one of the columns."""
-    out = F.lit(True)
     phrases = [p for p in query_words(query) if p]
     if not phrases:
         return F.lit(False)
-    for p in phrases:
-        pattern = r"(?<![\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(map(re.escape, p))
-        found = F.lit(False)
-        for c in columns:
-            found |= F.coalesce(sort_key(F.col(c)).rlike(pattern), F.lit(False))
-        out &= found
-    return out
+    patterns = [r"(?<![\p{L}\p{N}])" + r"[^\p{L}\p{N}]+".join(map(re.escape, p)) for p in phrases]
+    anywhere = lambda texts, pattern: F.exists(texts, lambda t: F.coalesce(t.rlike(pattern), F.lit(False)))
+    every = lambda texts: functools.reduce(lambda x, y: x & y, [anywhere(texts, p) for p in patterns])
+    # each text is folded once, whatever the number of phrases
+    return F.exists(F.array(F.array(*(sort_key(F.col(c)) for c in columns))), every)
