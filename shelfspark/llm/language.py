@@ -26,8 +26,8 @@ GRAMS = (1, 2, 3)
 UNKNOWN = "und"
 #: Nats by which the best codeword must beat the next for an unambiguous answer.
 MARGIN = 1.0
-#: A document of the pipeline needs a higher score.
-LEAST_SCORE = 0.51
+#: Nats by which it must do so for a document to stay in the pipeline, however many languages there are.
+TIE = 0.04
 #: Code points worked on at once, so that a long text needs little memory.
 CHUNK = 1 << 18
 
@@ -161,23 +161,24 @@ def fit(languages: list[str], counts: Iterable[tuple[str, np.ndarray]]) -> Model
     return Model(languages, code * 2.0 - 1, log, trust / max(trust.mean(), 1e-12))
 
 
-def decode(model: Model, counts: np.ndarray) -> tuple[int, float, bool]:
+def decode(model: Model, counts: np.ndarray, least: float = MARGIN) -> tuple[int, float, bool]:
     """(index of the language, score, ambiguous) of a text's n-gram counts.
 
     A bit's margin is the log odds summed over the text's n-grams, damped since
     overlapping n-grams are not independent. The loss of a codeword is the trust-
-    weighted logistic loss over its bits; scores are the softmax of the losses.
+    weighted logistic loss over its bits; scores are the softmax of the losses. The
+    answer is ambiguous if the next best codeword's loss is less than ``least`` higher.
     """
     at = np.flatnonzero(counts)
     margin = counts[at] @ model.weights[at] / len(GRAMS)
     loss = (model.trust * np.logaddexp(0, -model.code * margin)).sum(1) / max(1, model.code.shape[1] / 2)
     order = np.argsort(loss, kind="stable")
     p = np.exp(loss[order[0]] - loss)
-    close = len(order) > 1 and loss[order[1]] - loss[order[0]] < MARGIN
+    close = len(order) > 1 and loss[order[1]] - loss[order[0]] < least
     return int(order[0]), float(1 / p.sum()), bool(close)
 
 
-def identify(docs: DataFrame, model: Model, extra: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, extra: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", least: float = MARGIN) -> DataFrame:
     """(id, *extra columns, lang_pred, score, ambiguous): one row per row of ``docs``.
 
     ``und`` with score 0 for a null text, one without a letter, or if no language
@@ -196,7 +197,7 @@ def identify(docs: DataFrame, model: Model, extra: list[str] | None = None, id_c
                 if not model.languages or not has_letter(text):
                     out.append((UNKNOWN, 0.0, True))
                 else:
-                    k, score, close = decode(model, features(text))
+                    k, score, close = decode(model, features(text), least)
                     out.append((model.languages[k], score, close))
             pred, score, close = zip(*out) if out else ((), (), ())
             arrays = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(close, pa.bool_())]
@@ -224,9 +225,9 @@ def accepted(docs: DataFrame) -> DataFrame:
     """Pipeline stage: the rows of ``docs`` whose text has a recognisable language.
 
     Rejected are texts that are null, without a letter, or whose two best
-    codewords are as good as tied (a score of at most ``LEAST_SCORE``).
+    codewords are as good as tied (less than ``TIE`` nats apart).
     """
     known = docs.where(~held_out(docs) & F.col("doc_id").isNotNull())
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row__"))
-    kept = identify(rows, learn(known), ["row__"])
-    return kept.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") > LEAST_SCORE)).select("row__.*")
+    kept = identify(rows, learn(known), ["row__"], least=TIE)
+    return kept.where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select("row__.*")

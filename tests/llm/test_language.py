@@ -107,3 +107,19 @@ def test_many_languages(spark):
     assert len(model.languages) == 700
     hit = sum(model.languages[language.decode(model, language.features(t))[0]] == lang for t, lang in rows)
     assert hit > 0.9 * len(rows)
+
+
+def test_ties_do_not_depend_on_the_number_of_languages():
+    """A best codeword well ahead of many equal others is no tie, though its softmax is low."""
+    names = [f"l{k:02d}" for k in range(30)]
+    counts = []
+    for k in range(len(names)):
+        own = np.zeros(language.FEATURES)
+        own[:50], own[100 + k * 20 : 120 + k * 20] = 10, 3
+        counts.append((names[k], own))
+    model = language.fit(names, iter(counts))
+    text = np.zeros(language.FEATURES, np.int64)
+    text[100] = 1
+    best, score, tied = language.decode(model, text, language.TIE)
+    assert best == 0 and score < 0.9 and not tied
+    assert language.decode(model, text * 0, language.TIE)[2]
