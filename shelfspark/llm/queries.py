@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm import chat, decontaminate, embedding_dedup, language, line_dedup, packing, secrets, simhash, tokens, warc
+from shelfspark.llm import centroids, chat, decontaminate, embedding_dedup, language, line_dedup, packing, phrases, secrets, simhash, substring_dedup, tokens, warc
 
 
 def _over(f: Callable[..., DataFrame], *tables: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,6 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": _over(language.op8, "documents"),
         "op9_embedding_dedup": _over(embedding_dedup.op9, "embeddings"),
         "op10_warc": _over(warc.op10, "pages"),
+        "op11_centroids": _over(centroids.op11, "embeddings"),
+        "op12_collocations": _over(phrases.op12, "documents"),
+        "op13_substring_dedup": _over(substring_dedup.op13, "documents"),
     }
 
 
@@ -36,4 +39,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": chat.OP6_SQL,
         "op9_embedding_dedup": embedding_dedup.OP9_SQL,
         "op10_warc": warc.OP10_SQL,
+        "op11_centroids": centroids.OP11_SQL,
+        "op12_collocations": phrases.OP12_SQL,
+        "op13_substring_dedup": substring_dedup.OP13_SQL,
     }
