@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions import music, text
-from shelfspark.operators import changelog, decisions, genres, linkage, listing, membership, overview, playlists, recommend, search, similar
+from shelfspark.operators import changelog, decisions, genres, linkage, listing, membership, overview, playlists, recommend, search_index, similar
 from shelfspark.operators.graph import connected_components
 from shelfspark.plans.catalogue import TRACKS_SQL, tracks
 from shelfspark.sources import readers
+from shelfspark.storage import new_path
 from shelfspark.streaming import bursts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,7 +81,10 @@ def table_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, source FROM documents WHERE regexp_matches(strip_accents(lower(text)), '(^|[^\\p{L}\\p{N}])the') AND regexp_matches(strip_accents(lower(text)), '(^|[^\\p{L}\\p{N}])licen')")
 def fulltext_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(search.matches("The  licen -- ", ["text"])).select("doc_id", "source")
+    """The posting table is written once and only the ranges of the two beginnings are read again."""
+    docs = table(spark, sf_dir, "documents")
+    index = search_index.build(docs, "doc_id", ["text"], new_path(spark, "postings"))
+    return search_index.find(index, "The  licen -- ").withColumnRenamed("id", "doc_id").join(docs.select("doc_id", "source"), "doc_id")
 
 
 @query(f"{WITH} SELECT flags & (3840 | 8 | 64 | 128) AS mix, count(*) AS n FROM tracks GROUP BY 1")

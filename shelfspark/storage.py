@@ -41,3 +41,12 @@ def bounded_batches(spark: SparkSession, rows: int = 2_000) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(name, "10000") == "10000":
         spark.conf.set(name, str(rows))
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete files or folders, wherever Spark keeps them; those that are not there are left out."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
