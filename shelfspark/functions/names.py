@@ -9,30 +9,14 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfspark.functions.label_tables import CUT_LABELS, REWORK_LABELS
+
 # Word lists of the name rules.
 MASHUP_SEPARATORS = ("x", "vs", "versus")
-HTML_ENTITIES = {"quot": '"', "apos": "'", "lt": "<", "gt": ">", "nbsp": "\u00a0", "lpar": "(", "rpar": ")", "lsqb": "[", "rsqb": "]", "ndash": "\u2013", "mdash": "\u2014", "amp": "&"}
+HTML_ENTITIES = {"amp": "&", "quot": '"', "apos": "'", "lt": "<", "gt": ">", "nbsp": "\u00a0", "lpar": "(", "rpar": ")", "lsqb": "[", "rsqb": "]", "ndash": "\u2013", "mdash": "\u2014"}
 XML_ENTITIES = {"quot": '"', "apos": "'", "lt": "<", "gt": ">", "amp": "&"}
 SITE_ENDINGS = "com net org example test invalid io fm ru cc biz info xyz site online blog app uk de nl fr eu ca tv co".split()
 CATALOGUE_STOP_WORDS = "part pt vol volume no nr disc cd side track take chapter ver version mix cut ep lp bpm kbps mp hz khz demo bonus rev mstr edt".split()
-#: Spellings of labels that say how a recording was cut (the most common of each kind).
-CUT_LABELS = {
-    "original": ("original", "original mix", "original version", "original edit", "orig"),
-    "extended": ("extended", "extended mix", "extended version", "extended edit"),
-    "radio": ("radio edit", "radio mix", "radio version", "radio"),
-    "club": ("club mix", "club edit", "club version", "club"),
-    "dub": ("dub", "dub mix", "dub version"),
-    "instrumental": ("instrumental", "instrumental mix", "instrumental version"),
-    "acapella": ("acapella", "a cappella", "acappella"),
-    "clean": ("clean", "clean version", "clean edit"),
-    "dirty": ("dirty", "explicit"),
-    "intro": ("intro", "intro edit"),
-    "outro": ("outro", "outro edit"),
-    "remaster": ("remaster", "remastered"),
-    "live": ("live", "live version"),
-}
-#: Spellings of labels that say who made another recording of it.
-REWORK_LABELS = {"remix": ("remix", "rmx", "remixed", "re-mix", "remix edit"), "vip": ("vip", "vip mix"), "edit": ("edit",), "bootleg": ("bootleg",), "rework": ("rework",), "cover": ("cover",), "flip": ("flip",), "mashup": ("mashup", "mash-up", "mash up")}
 # Names of the 24 keys, in wheel order 1A to 12A, then 1B to 12B.
 STANDARD_KEYS = "G#m Ebm Bbm Fm Cm Gm Dm Am Em Bm F#m C#m B F# Db Ab Eb Bb F C G D A E".split()
 SHARP_KEYS = "G#m D#m A#m Fm Cm Gm Dm Am Em Bm F#m C#m B F# C# G# D# A# F C G D A E".split()
@@ -175,19 +159,6 @@ def _aside(t: Column) -> Column:
     return out
 
 
-def version_label(bracket: Column) -> Column:
-    """struct(group, kind): what the longest label at a bracket's end says, cut or rework; null if there is none."""
-    words = F.transform(_words(F.translate(bracket, "/+&,|;", "      ")), lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}@#-]", "")))
-    pairs = [(x, g, k) for g, table in (("cut", CUT_LABELS), ("rework", REWORK_LABELS)) for k, spelt in table.items() for x in spelt]
-    table = F.create_map(*[c for x, g, k in pairs for c in (F.lit(x), F.struct(F.lit(g).alias("group"), F.lit(k).alias("kind")))])
-
-    def longest(w: Column) -> Column:
-        last = lambda n: F.array_join(F.slice(w, F.greatest(F.size(w) - n + 1, F.lit(1)), n), " ")
-        return F.coalesce(*(F.try_element_at(table, last(n)) for n in (3, 2, 1)))
-
-    return F.get(F.transform(F.array(words), longest), F.lit(0))
-
-
 def upcase(path: Column) -> Column:
     """A path by which spellings are compared where case does not count: letters whose upper case is one other letter."""
     kept = F.regexp_replace(path, "\u00df", "\u0001")
@@ -300,77 +271,3 @@ def no_cover(raw_tags: Column) -> Column:
         return kind & F.coalesce((f["value"]["type"] == "binary") & (f["value"]["len"] > 0), F.lit(False))
 
     return raw_tags.isNotNull() & (F.coalesce(F.size(_frames(raw_tags, picture)), F.lit(0)) == 0)
-
-
-#: Full-width forms and CJK brackets, and what they are read as.
-WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "\u3000\u3010\u3011\u3014\u3015\u300c\u300d"
-NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " []()[]"
-
-
-def normalise(name: Column) -> Column:
-    """A name with full-width forms as plain characters, CJK brackets as brackets, dashes between blanks as hyphens, and single spaces."""
-    plain_form = F.translate(name, WIDE, NARROW)
-    dashed = F.regexp_replace(plain_form, "(?<=\\s)[\u2010-\u2015](?=\\s)", "-")
-    return F.trim(F.regexp_replace(dashed, r"\s+", " "))
-
-
-def brackets(name: Column) -> Column:
-    """The contents of a name's outermost-first brackets without brackets inside, in order."""
-    return F.transform(F.regexp_extract_all(name, F.lit(r"[(\[]([^()\[\]]*)[)\]]"), F.lit(1)), lambda b: F.trim(b))
-
-
-def parse_name(name: Column) -> Column:
-    """struct(artist, title, labels, asides, unknown) of a release's name.
-
-    Entities and escapes are decoded and wide forms made plain. What stands before the
-    first `` - `` is the artist. Brackets are read one by one: labels of cuts and reworks
-    (as group/kind), asides (as kind:value), sites (dropped), credits of featured names
-    (dropped), and the rest, unknown.
-    """
-    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
-
-    def parted(clean: Column) -> Column:
-        at = F.instr(clean, " - ")
-        artist = F.when(at > 0, F.trim(F.substring(clean, F.lit(1), at - 1)))
-        rest = F.when(at > 0, F.substring(clean, at + 3, F.length(clean))).otherwise(clean)
-        return F.struct(artist.alias("artist"), rest.alias("rest"))
-
-    def read(bracket: Column) -> Column:
-        return F.struct(bracket.alias("text"), version_label(bracket).alias("label"), bracket_aside(bracket).alias("aside"))
-
-    def whole(p: Column) -> Column:
-        inside = F.filter(brackets(p["rest"]), lambda b: (b != "") & ~b.rlike(r"(?i)^(feat|ft|featuring)\b") & ~F.exists(_words(b), looks_like_site))
-        title = F.regexp_replace(F.regexp_replace(p["rest"], r"\s*[(\[][^()\[\]]*[)\]]", " "), r"(?i)\s+(?:feat\.?|ft\.?|featuring)\s.*$", "")
-        title = F.trim(F.regexp_replace(title, r"\s+", " "))
-        return once(F.transform(inside, read), lambda z: sorted_out(p["artist"], title, z))
-
-    def sorted_out(artist: Column, title: Column, z: Column) -> Column:
-        labels = F.transform(F.filter(z, lambda r: r["label"].isNotNull()), lambda r: F.concat_ws("/", r["label"]["group"], r["label"]["kind"]))
-        asides = F.transform(F.filter(z, lambda r: r["label"].isNull() & r["aside"].isNotNull()), lambda r: F.concat_ws(":", r["aside"]["kind"], r["aside"]["value"]))
-        unknown = F.transform(F.filter(z, lambda r: r["label"].isNull() & r["aside"].isNull()), lambda r: r["text"])
-        return F.struct(artist.alias("artist"), title.alias("title"), F.array_sort(F.array_distinct(labels)).alias("labels"), asides.alias("asides"), unknown.alias("unknown"))
-
-    return once(once(normalise(decode_url_escapes(decode_entities(name))), parted), whole)
-
-
-def name_relation(a: Column, b: Column) -> Column:
-    """How two parsed names relate: title, artists, mashup, rework, cut, unclear or same, the first that applies.
-
-    The labels ``cut/original`` and none are the same cut; a name with a rework and a cut
-    that the other lacks counts as another rework.
-    """
-    labels = lambda x: F.array_remove(x["labels"], "cut/original")
-    apart = F.concat(F.array_except(labels(a), labels(b)), F.array_except(labels(b), labels(a)))
-    unknown = lambda x: F.array_sort(F.transform(x["unknown"], version_key))
-    both = a["artist"].isNotNull() & b["artist"].isNotNull()
-    parts = lambda x: F.transform(F.coalesce(mashup_parts(x["title"]), F.array().cast("array<string>")), version_key)
-    named = F.array_contains(parts(a), version_key(b["title"])) | F.array_contains(parts(b), version_key(a["title"]))
-    return (
-        F.when(named, "mashup")
-        .when(version_key(a["title"]) != version_key(b["title"]), "title")
-        .when(both & ~artists_match(a["artist"], b["artist"]), "artists")
-        .when(F.exists(apart, lambda x: x.startswith("rework/")), "rework")
-        .when(F.size(apart) > 0, "cut")
-        .when(unknown(a) != unknown(b), "unclear")
-        .otherwise("same")
-    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.functions import music, names
+from shelfspark.functions import music, names, releases
 from shelfspark.plans.queries import query, table
 
 
@@ -63,16 +63,43 @@ def escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", names.decode_url_escapes(names.decode_entities(t)).alias("html"), names.xml_unescape(t).alias("xml"))
 
 
-LABEL_PICK = ["Extended Mix", "Some Name Remix", "Radio Edit", "Clean / Dub", "nothing", "VIP"]
-
-
-@query(
-    "SELECT p_partkey, [{'g': 'cut', 'k': 'extended'}, {'g': 'rework', 'k': 'remix'}, {'g': 'cut', 'k': 'radio'}, {'g': 'cut', 'k': 'dub'}, NULL, {'g': 'rework', 'k': 'vip'}][p_size % 6 + 1].g AS grp, "
-    "[{'g': 'cut', 'k': 'extended'}, {'g': 'rework', 'k': 'remix'}, {'g': 'cut', 'k': 'radio'}, {'g': 'cut', 'k': 'dub'}, NULL, {'g': 'rework', 'k': 'vip'}][p_size % 6 + 1].k AS kind FROM part"
-)
+#: What a bracket holds, made from a part's brand and size, and what it says (group/kind=detail).
+LABEL_FORMS = [
+    ("p_brand || ' Extended Remix'", "'cut/extended,rework/remix=' || p_brand"),
+    ("'Live at ' || p_brand || ' Hall'", "'rework/live=' || p_brand || ' Hall'"),
+    ("'Clean / Intro + Outro'", "'cut/clean,cut/intro_outro'"),
+    ("'Re-Fix by ' || p_brand", "'rework/rework=' || p_brand"),
+    ("'Remastered ' || (1950 + p_size)", "'cut/remaster=' || (1950 + p_size)"),
+    ("(1950 + p_size) || ' Remaster'", "'cut/remaster=' || (1950 + p_size)"),
+    ("p_brand || ' Edit'", "'rework/bootleg=' || p_brand"),
+    ("'Main Mix'", "NULL"),
+    ("'Ana & ' || p_brand || ' Mix'", "'rework/remix=Ana & ' || p_brand"),
+    ("'Dub'", "'rework/dub'"),
+    ("'Instrumental Mix'", "'rework/instrumental'"),
+    ("'short edit'", "'cut/short'"),
+    ("p_brand || ' Clean'", "NULL"),
+    ("'In-Out'", "'cut/intro_outro'"),
+    ("'Quick Hit Edit'", "'cut/quick_hit'"),
+    ("'Intro - Dirty'", "'cut/intro,cut/dirty'"),
+    ("'V.I.P. Mix'", "'rework/vip'"),
+    ("'odd words ' || p_size", "NULL"),
+]
+
+
+def _case(forms: list[tuple[str, ...]], k: int) -> str:
+    whens = " ".join(f"WHEN {i} THEN {f[k]}" for i, f in enumerate(forms))
+    return f"CASE p_partkey % {len(forms)} {whens} END"
+
+
+def _listed(labels: F.Column) -> F.Column:
+    one = F.transform(labels, lambda x: F.concat(x["group"], F.lit("/"), x["kind"], F.coalesce(F.concat(F.lit("="), x["detail"]), F.lit(""))))
+    return F.array_join(one, ",")
+
+
+@query(f"SELECT p_partkey, {_case(LABEL_FORMS, 1)} AS labels FROM part")
 def version_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = names.version_label(F.concat(F.lit(""), F.get(F.array(*map(F.lit, LABEL_PICK)), F.col("p_size") % 6)))
-    return table(spark, sf_dir, "part").select("p_partkey", label["group"].alias("grp"), label["kind"].alias("kind"))
+    """Labels of brackets read from their ends backwards, with names in front, places behind and years beside them."""
+    return table(spark, sf_dir, "part").select("p_partkey", _listed(releases.read_labels(F.expr(_case(LABEL_FORMS, 0)))).alias("labels"))
 
 
 @query(
@@ -152,28 +179,52 @@ def tidy_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-NAME_ENDS = [" (Extended Mix)", " [8A] (Some Name Remix)", " (ft. Other)", " (www.site.com) [Radio Edit]", " (odd words)", "\uff08Original Mix\uff09", ""]
-
-
-def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    end = lambda k: F.get(F.array(*map(F.lit, NAME_ENDS)), (k % len(NAME_ENDS)).cast("int"))
-    size, key = F.col("p_size"), F.col("p_partkey")
-    a = names.parse_name(F.concat(F.upper("p_brand"), F.lit("  &#45; "), "p_name", end(size)))
-    b = names.parse_name(F.concat(F.when(key % 5 == 0, "Nobody").otherwise(F.concat("p_brand", F.lit(" & Else"))), F.lit(" \u2013 "), F.when(key % 7 == 0, "Other").otherwise(F.initcap("p_name")), end(key)))
-    return table(spark, sf_dir, "part").select("p_partkey", a.alias("a"), b.alias("b"))
+#: A file's name made from a part, and how it reads: artist, title, labels, labels that may be the title's, asides, unknown.
+NAME_FORMS = [
+    ("'01. ' || p_brand || ' - ' || p_name || ' (Extended Mix).mp3'", "p_brand", "p_name", "'cut/extended'", "''", "''", "''"),
+    ("p_brand || ' & Else feat. Other - ' || p_name || ' [8A] (' || p_brand || ' Remix (Clean))'", "p_brand || ' & Else feat. Other'", "p_name", "'rework/remix=' || p_brand || ',cut/clean'", "''", "''", "'8A'"),
+    ("p_brand || '  &#45; ' || p_name || ' (ft. Other) [124 BPM]'", "p_brand", "p_name", "''", "''", "'tempo:124'", "''"),
+    ("'site.com - ' || p_brand || ' – ' || p_name || ' (www.site.com) 【Radio Edit】'", "p_brand", "p_name", "'cut/radio_edit'", "''", "''", "''"),
+    ("p_brand || ' - ' || p_name || ' (odd words) (2)'", "p_brand", "p_name", "''", "''", "''", "'odd words,2'"),
+    ("p_brand || ' - ' || p_name || ' - ' || p_brand || ' Flip - Dirty.flac'", "p_brand", "p_name", "'rework/flip=' || p_brand || ',cut/dirty'", "''", "''", "''"),
+    ("p_brand || ' - ' || p_name || ' Extended Mix'", "p_brand", "p_name || ' Extended Mix'", "''", "'cut/extended'", "''", "''"),
+    ("p_brand || ' - ' || p_name || ' (Dub [Intro'", "p_brand", "p_name", "'rework/dub,cut/intro'", "''", "''", "''"),
+    ("p_name || '.wav'", "NULL", "p_name", "''", "''", "''", "''"),
+    ("p_brand || ' - (dirty) ' || p_name || ' (1) [FLAC 320kbps]'", "p_brand", "'(dirty) ' || p_name", "''", "''", "'copy:1'", "''"),
+]
 
 
-@query(
-    "SELECT p_partkey, upper(p_brand) AS artist, p_name AS title, ['cut/extended', 'rework/remix', '', 'cut/radio', '', 'cut/original', ''][p_size % 7 + 1] AS labels, CASE WHEN p_size % 7 = 1 THEN 'key:8a' ELSE '' END AS asides, CASE WHEN p_size % 7 = 4 THEN 'odd words' ELSE '' END AS unknown FROM part"
-)
+@query(f"SELECT p_partkey, {', '.join(f'{_case(NAME_FORMS, k + 1)} AS {c}' for k, c in enumerate(('artist', 'title', 'labels', 'maybe', 'asides', 'unknown')))} FROM part")
 def parsed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = (F.array_join(f"a.{c}", ",").alias(c) for c in ("labels", "asides", "unknown"))
-    return _named(spark, sf_dir).select("p_partkey", "a.artist", "a.title", *cells)
-
-
-@query(
-    "WITH k AS (SELECT p_partkey, p_size % 7 AS x, (p_partkey % 7)::INTEGER AS y, ['cut/extended', 'rework/remix', '', 'cut/radio', '', '', ''] AS l FROM part) "
-    "SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'title' WHEN p_partkey % 5 = 0 THEN 'artists' WHEN (x = 1) <> (y = 1) THEN 'rework' WHEN l[x + 1] <> l[y + 1] THEN 'cut' WHEN (x = 4) <> (y = 4) THEN 'unclear' ELSE 'same' END AS relation FROM k"
-)
+    """File names with folders, numbers, nested and open brackets, segments and sites, read whole."""
+    rows = releases.parse_releases(table(spark, sf_dir, "part"), F.expr(_case(NAME_FORMS, 0)), "n")
+    asides = F.array_join(F.transform("n.asides", lambda a: F.concat_ws(":", a["kind"], a["value"])), ",")
+    cells = [_listed(F.col("n.labels")).alias("labels"), _listed(F.col("n.maybe")).alias("maybe"), asides.alias("asides"), F.array_join("n.unknown", ",").alias("unknown")]
+    return rows.select("p_partkey", "n.artist", "n.title", *cells)
+
+
+#: Two names of a part and how they relate.
+RELATION_FORMS = [
+    ("p_brand || ' - ' || p_name", "upper(p_brand) || ' & Else - ' || upper(p_name) || ' (Original Mix)'", "'same'"),
+    ("p_brand || ' - ' || p_name || ' (Clean)'", "p_brand || ' - ' || p_name || ' [Dirty]'", "'cut'"),
+    ("p_brand || ' - ' || p_name || ' (Dub)'", "p_brand || ' - ' || p_name", "'rework'"),
+    ("p_brand || ' - ' || p_name || ' (Ana Remix)'", "p_brand || ' - ' || p_name || ' - Ana''s Remix'", "'same'"),
+    ("p_brand || ' - ' || p_name || ' (Ana Remix)'", "p_brand || ' - ' || p_name || ' (Bo Remix)'", "'rework'"),
+    ("p_brand || ' - ' || p_name || ' (Ana Remix)'", "p_brand || ' - ' || p_name || ' (Remix)'", "'unclear'"),
+    ("p_brand || ' - ' || p_name || ' Extended Mix'", "p_brand || ' - ' || p_name || ' (Extended Mix)'", "'same'"),
+    ("p_brand || ' - ' || p_name || ' (2009 Remaster)'", "p_brand || ' - ' || p_name || ' (Remastered 2011)'", "'cut'"),
+    ("p_brand || ' - ' || p_name", "'Nobody - ' || p_name", "'artists'"),
+    ("p_brand || ' - ' || p_name", "p_brand || ' - Other'", "'title'"),
+    ("p_brand || ' - ' || p_name || ' x Other'", "p_brand || ' - Other'", "'mashup'"),
+    ("p_brand || ' - ' || p_name || ' (odd words)'", "p_brand || ' - ' || p_name", "'unclear'"),
+    ("p_brand || ' - ' || p_name || ' [8A]'", "p_brand || ' - ' || p_name || ' [9A]'", "'unclear'"),
+    ("p_brand || ' - ' || p_name || ' (1)'", "p_brand || ' - ' || p_name || ' (2)'", "'same'"),
+]
+
+
+@query(f"SELECT p_partkey, {_case(RELATION_FORMS, 2)} AS relation FROM part")
 def name_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _named(spark, sf_dir).select("p_partkey", names.name_relation(F.col("a"), F.col("b")).alias("relation"))
+    rows = table(spark, sf_dir, "part")
+    for k, c in enumerate("ab"):
+        rows = releases.parse_releases(rows, F.expr(_case(RELATION_FORMS, k)), c)
+    return releases.relate(rows, "a", "b").select("p_partkey", "relation")
