@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.operators import changelog, search_index
 from shelfspark.plans.queries import query, table
+from shelfspark.sources import readers, tree_document
 from shelfspark.sources.keyed_table import KeyedTable
 from shelfspark.storage import new_path
 
@@ -143,3 +144,62 @@ def undo_logged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverse changes as the operation that the log gained, consecutively numbered."""
     log, _ = changelog.undo_next(_replayed(spark, sf_dir)[0])
     return log.where("undoes IS NOT NULL").select("seq", "operation", "undoes", "id", "before", "after")
+
+
+def _folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of three levels below the top: regions, nations and, as playlists, customers."""
+    region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    top = spark.range(1).select(F.lit(1).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("place"), F.lit("ROOT").alias("name"), F.lit(True).alias("folder"))
+    a = region.select((F.col("r_regionkey") + 10).cast("long").alias("node"), F.lit(1).cast("long").alias("parent"), F.col("r_regionkey").cast("long").alias("place"), F.col("r_name").alias("name"), F.lit(True).alias("folder"))
+    b = nation.select((F.col("n_nationkey") + 100).cast("long").alias("node"), (F.col("n_regionkey") + 10).cast("long").alias("parent"), F.col("n_nationkey").cast("long").alias("place"), F.col("n_name").alias("name"), F.lit(True).alias("folder"))
+    c = customer.select((F.col("c_custkey") + 1000).alias("node"), (F.col("c_nationkey") + 100).cast("long").alias("parent"), F.col("c_custkey").alias("place"), F.concat("c_name", F.lit(" <&> "), "c_mktsegment").alias("name"), F.lit(False).alias("folder"))
+    return top.unionByName(a).unionByName(b).unionByName(c)
+
+
+@query("SELECT c_custkey + 1000 AS node, r_name || '/' || n_name || '/' || c_name || ' <&> ' || c_mktsegment AS path, 3 AS depth FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_nationkey + 100, r_name || '/' || n_name, 2 FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_regionkey + 10, r_name, 1 FROM region UNION ALL SELECT 1, '', 0")
+def playlist_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each playlist and folder of a nested tree stands, by a recursive query."""
+    return tree_document.paths(_folders(spark, sf_dir)).select("node", F.array_join("path", "/").alias("path"), "depth")
+
+
+LIST_SQL = "SELECT o_orderkey % 2 AS key_type, o_orderkey AS k, o_custkey + 1000 AS node FROM orders"
+
+
+@query(
+    f"WITH e AS ({LIST_SQL}), r AS (SELECT node, k, CASE WHEN key_type = 0 AND k <= (SELECT max(p_partkey) FROM part) THEN 'id' WHEN key_type = 1 AND k // 2 <= (SELECT max(p_partkey) FROM part) THEN 'location' END AS found_by FROM e) "
+    "SELECT coalesce(found_by, 'none') AS found_by, count(*) AS n, count(DISTINCT node) AS lists, sum(CASE found_by WHEN 'id' THEN k WHEN 'location' THEN k // 2 END)::BIGINT AS tracks FROM r GROUP BY 1"
+)
+def playlist_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries looked up by id or by location (escaped, in another case); those that point at no track are counted."""
+    odd, k = F.col("o_orderkey") % 2, F.col("o_orderkey")
+    key = F.when(odd == 0, k.cast("string")).otherwise(F.concat(F.lit("file://localhost/C:/Music%20A/"), F.floor(k / 2).cast("string"), F.lit(".MP3")))
+    entries = table(spark, sf_dir, "orders").select((F.col("o_custkey") + 1000).alias("node"), odd.alias("key_type"), k.alias("place"), key.alias("key"))
+    tracks = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("track"), F.col("p_partkey").alias("id"), F.concat(F.lit("file://localhost/c:/music%20a/"), F.col("p_partkey").cast("string"), F.lit(".mp3")).alias("location"))
+    found = tree_document.resolve_entries(entries, tracks)
+    return found.groupBy(F.coalesce("found_by", F.lit("none")).alias("found_by")).agg(F.count("*").alias("n"), F.countDistinct("node").alias("lists"), F.sum("track").alias("tracks"))
+
+
+@query(
+    "SELECT 'track' AS kind, p_name AS name, p_partkey AS key, NULL::BIGINT AS place FROM part UNION ALL "
+    "SELECT 'entry', c_name || ' <&> ' || c_mktsegment, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 FROM orders JOIN customer ON c_custkey = o_custkey UNION ALL "
+    "SELECT 'folder', n_name, NULL, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) FROM nation"
+)
+def collection_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks, nested folders, playlists and entries written as one ordered document and read back from it."""
+    part, orders, nodes = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders"), _folders(spark, sf_dir)
+    entries = orders.select((F.col("o_custkey") + 1000).alias("node"), F.col("o_orderkey").alias("place"), F.col("o_orderkey").alias("key"))
+    fields = {"TrackID": F.col("p_partkey"), "Name": F.col("p_name"), "Artist": F.col("p_brand"), "Genre": F.when(F.col("p_partkey") % 5 != 0, F.col("p_type"))}
+    path = new_path(spark, "collection") + ".xml"
+    tree_document.write_document(tree_document.document_lines(part, "p_partkey", fields, nodes, entries), path)
+    tracks = readers.collection_xml(spark, path).select(F.lit("track").alias("kind"), "name", F.col("trackid").alias("key"), F.lit(None).cast("long").alias("place"))
+    found, listed = tree_document.read_tree(spark, path, 4)
+    names = found.select("node", "name")
+    listed = listed.join(names, "node").select(F.lit("entry").alias("kind"), "name", F.col("key").cast("long").alias("key"), F.col("place").cast("long").alias("place"))
+    below = found.where("NOT folder").groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("place"))
+    nations = nation_names(found).join(below, "node", "left").select(F.lit("folder").alias("kind"), "name", F.lit(None).cast("long").alias("key"), F.coalesce("place", F.lit(0)).alias("place"))
+    return tracks.unionByName(listed).unionByName(nations)
+
+
+def nation_names(found: DataFrame) -> DataFrame:
+    """Folders of the second level below the top."""
+    return found.where("folder AND size(split(node, '[.]')) = 3").select("node", "name")
