@@ -5,10 +5,10 @@ become one row with a multiplicity. Phrases of one word, then of two and so on a
 counted, weighted by it: tasks add up what they meet, the rows are dealt into hash
 buckets, and DuckDB counts each bucket, on disk where memory does not suffice.
 
-A phrase can only be frequent if what it begins and ends with is, so a task offers only
-phrases whose two parts of one word less pass a bit map of the frequent ones. The map is
-of bounded size: with very many frequent phrases it lets more through, and no count
-changes. The parts a candidate is cut into are looked up by requests shuffled to the
+A phrase can only be frequent if its parts are, so a task offers only pairs of words that
+both pass a bit map of the frequent words, and longer phrases whose neighbouring pairs all
+pass a map of the frequent pairs. A map is of bounded size: with very many frequent
+phrases it lets more through, and no count changes. The parts a candidate is cut into are looked up by requests shuffled to the
 counts; requests for one part are spread over several copies of its count.
 """
 
@@ -24,6 +24,7 @@ from functools import reduce
 from urllib.parse import urlparse
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -38,18 +39,30 @@ COVERED = 80
 FACTOR = 2_000_000
 #: Bits of the map of frequent phrases: so many for each, and at most.
 BITS_EACH, MOST_BITS = 16, 1 << 27
-#: Phrases that a task adds up before it passes them on.
-HELD = 200_000
+#: Pieces that a task adds up before it passes them on, and the bytes of pieces whose phrases it adds up.
+HELD, CHUNK_BYTES = 200_000, 6_000_000
 #: Memory of DuckDB in a task; what does not fit goes to disk.
 MEMORY = "256MB"
 #: Copies of each count that requests are spread over.
 SALTS = 16
 
+#: An odd multiplier of hashes.
+SPREAD = 0x9E3779B97F4A7C15
 # A-Z to a-z, a tab to a space, and the characters that part pieces to a line feed.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else 32 if c == 9 else 10 if c in b".,;:!?\n\x0b\x0c\r" else c for c in range(256))
-GRAM = "lang string, phrase binary, f long"
-NAMES = ["lang", "phrase", "f"]
-KINDS = [pa.string(), pa.binary(), pa.int64()]
+#: A row is a key (how long the language is, the language, the words) and a count.
+GRAM, NAMES = "key binary, f long", ["key", "f"]
+FREQUENT = "lang string, phrase binary, f long, slot long"
+
+
+def _prefix(lang: str) -> bytes:
+    own = lang.encode("utf-8", "surrogatepass")
+    return len(own).to_bytes(4, "big") + own
+
+
+def _cut(key: bytes) -> int:
+    """Where a key's words begin."""
+    return 4 + int.from_bytes(key[:4], "big")
 
 
 def split_pieces(text: bytes) -> Iterator[bytes]:
@@ -59,73 +72,129 @@ def split_pieces(text: bytes) -> Iterator[bytes]:
             yield piece if b"  " not in piece else b" ".join(w for w in piece.split(b" ") if w)
 
 
-def _rows(counts: dict[tuple[str, bytes], int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], KINDS[0]), pa.array([k[1] for k in counts], KINDS[1]), pa.array(counts.values(), KINDS[2])], NAMES)
+def _rows(counts: dict[bytes, int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], NAMES)
 
 
 def pieces(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, phrase, f): distinct pieces and how often each occurs. A null language is ``und``; a null text has none."""
+    """(key, f): distinct pieces and how often each occurs. A null language is ``und``; a null text has none."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[bytes, int] = {}
         for b in batches:
-            counts: dict[tuple[str, bytes], int] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
+                head = _prefix(lang)
                 for piece in split_pieces(text.as_py()):
-                    counts[lang, piece] = counts.get((lang, piece), 0) + 1
+                    piece = head + piece
+                    counts[piece] = counts.get(piece, 0) + 1
                 if len(counts) >= HELD:
                     yield _rows(counts)
                     counts = {}
-            yield _rows(counts)
+        yield _rows(counts)
 
     texts = docs.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    return texts.mapInArrow(run, GRAM).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return texts.mapInArrow(run, GRAM).groupBy("key").agg(F.sum("f").alias("f"))
+
+
+def word_totals(found: DataFrame) -> DataFrame:
+    """(lang, n): all word occurrences of each language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[bytes, int] = {}
+        for b in batches:
+            for key, f in zip(*(c.to_pylist() for c in b.columns)):
+                at = _cut(key)
+                sums[key[:at]] = sums.get(key[:at], 0) + f * (key.count(b" ", at) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array([k[4:] for k in sums], pa.binary()), pa.array(sums.values(), pa.int64())], ["lang", "n"])
+
+    return found.select(*NAMES).mapInArrow(run, "lang binary, n long").groupBy(F.col("lang").cast("string").alias("lang")).agg(F.sum("n").alias("n"))
+
 
+class _Words(dict):
+    """Numbers of words in the order they are met, and a hash of each."""
 
-def _slot(lang: str, phrase: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(phrase, zlib.crc32(lang.encode())) & (MOST_BITS - 1)
+    def __init__(self) -> None:
+        self.hashes: list[int] = []
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        return n
 
-def _offered(found: DataFrame, n: int, frequent: bytes | None) -> DataFrame:
-    """Phrases of n words of the pieces, partly added up, whose parts of n - 1 words pass the map."""
-    spark = found.sparkSession
-    shared = spark.sparkContext.broadcast(frequent)
+
+def _slot(head: bytes, hashes: np.ndarray) -> np.ndarray:
+    """Places in the map, of phrases of a language, by what ``_hash`` gives."""
+    x = hashes ^ np.uint64(zlib.crc32(head) * SPREAD & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(SPREAD)
+    return ((x ^ (x >> np.uint64(29))) & np.uint64(MOST_BITS - 1)).astype(np.int64)
+
+
+def _hash(of_words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each n neighbouring words from the words' hashes."""
+    h = of_words[: len(of_words) - n + 1].copy()
+    for k in range(1, n):
+        h = h * np.uint64(SPREAD) + of_words[k : len(of_words) - n + 1 + k]
+    return h
+
+
+def _added_up(head: bytes, found: list[bytes], f: list[int], sizes: list[int], bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """The phrases of so many words in these pieces, each with the sum of its pieces' f.
+
+    With a map: those whose parts of a word less pass it (two words), or whose neighbouring
+    pairs of words do (more).
+    """
+    words, names, long = [], _Words(), []
+    for piece in found:
+        mine = piece.split(b" ")
+        long.append(len(mine))
+        words += mine
+    ids = np.fromiter(map(names.__getitem__, words), np.int64, len(words))
+    ends = np.repeat(np.cumsum(long), long)
+    weights = np.repeat(np.array(f, np.int64), long)
+    spelt = list(names)
+    if bits is not None:
+        part = 1 if max(sizes) == 2 else 2
+        slot = _slot(head, _hash(np.array(names.hashes, np.uint64)[ids], part)) & (len(bits) * 8 - 1)
+        ok = (bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+    for n in sizes:
+        at = np.flatnonzero(np.arange(len(ids)) + n <= ends)
+        if bits is not None:
+            at = at[np.logical_and.reduce([ok[at + k] for k in range(n - part + 1)])] if len(at) else at
+        code = ids[at]
+        for k in range(1, n):  # numbers of phrases from those of their beginnings
+            if k > 1:
+                code = np.unique(code, return_inverse=True)[1].astype(np.int64)
+            code = code << 32 | ids[at + k]
+        order = np.argsort(code)
+        first = np.flatnonzero(np.diff(code[order], prepend=-1))
+        sums = np.add.reduceat(weights[at][order], first) if len(first) else np.zeros(0, np.int64)
+        columns = [map(spelt.__getitem__, ids[at[order[first]] + k].tolist()) for k in range(n)]
+        phrases = list(map(head.__add__, columns[0] if n == 1 else map(b" ".join, zip(*columns))))
+        yield pa.RecordBatch.from_arrays([pa.array(phrases, pa.binary()), pa.array(sums, pa.int64())], NAMES)
+
+
+def _offered(found: DataFrame, sizes: list[int], frequent: bytes | None) -> DataFrame:
+    """Phrases of so many words of the pieces, added up by chunks, that pass the map."""
+    shared = found.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        mask = len(bits) * 8 - 1 if bits else 0
-        known: dict[tuple[str, bytes], bool] = {}
-
-        def passes(lang: str, part: bytes) -> bool:
-            at = _slot(lang, part) & mask
-            return bool(bits[at >> 3] >> (at & 7) & 1)
-
-        def word_passes(lang: str, part: bytes) -> bool:
-            if (ok := known.get((lang, part))) is None:
-                if len(known) >= HELD:
-                    known.clear()
-                ok = known[lang, part] = passes(lang, part)
-            return ok
-
-        test = word_passes if n == 2 else passes
-        counts: dict[tuple[str, bytes], int] = {}
+        bits = np.frombuffer(shared.value, np.uint8) if shared.value else None
+        held: dict[bytes, tuple[list[bytes], list[int]]] = {}
+        size: dict[bytes, int] = {}
         for b in batches:
-            for lang, piece, f in zip(*(c.to_pylist() for c in b.columns)):
-                words = piece.split(b" ")
-                if len(words) < n:
-                    continue
-                if n == 1:
-                    offered = words
-                else:
-                    parts = words if n == 2 else [b" ".join(words[i : i + n - 1]) for i in range(len(words) - n + 2)]
-                    ok = [test(lang, p) for p in parts]
-                    offered = [parts[i] + b" " + words[i + n - 1] for i in range(len(words) - n + 1) if ok[i] and ok[i + 1]]
-                for p in offered:
-                    counts[lang, p] = counts.get((lang, p), 0) + f
-                if len(counts) >= HELD:
-                    yield _rows(counts)
-                    counts = {}
-        yield _rows(counts)
+            for key, f in zip(*(c.to_pylist() for c in b.columns)):
+                at = _cut(key)
+                head = key[:at]
+                mine = held.setdefault(head, ([], []))
+                mine[0].append(key[at:])
+                mine[1].append(f)
+                size[head] = size.get(head, 0) + len(key)
+                if size[head] >= CHUNK_BYTES:
+                    size[head] = 0
+                    yield from _added_up(head, *held.pop(head), sizes, bits)
+        for head, mine in held.items():
+            yield from _added_up(head, *mine, sizes, bits)
 
     return found.select(*NAMES).mapInArrow(run, GRAM)
 
@@ -150,15 +219,21 @@ def frequent_phrases(offered: DataFrame, least: int) -> DataFrame:
         try:
             grams = pa.RecordBatchReader.from_batches(head.schema, itertools.chain([head], batches))
             con.register("grams", grams)
-            counted = con.sql(f"SELECT lang, phrase, sum(f)::BIGINT AS f FROM grams GROUP BY lang, phrase HAVING sum(f) >= {int(least)}")
+            counted = con.sql(f"SELECT key, sum(f)::BIGINT AS f FROM grams GROUP BY key HAVING sum(f) >= {int(least)}")
             for b in counted.to_arrow_reader(50_000):
-                slots = [_slot(x, p) for x, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*(c.cast(k) for c, k in zip(b.columns, KINDS)), pa.array(slots, pa.int64())], [*NAMES, "slot"])
+                keys = b.column(0).to_pylist()
+                heads, phrases = [k[: _cut(k)] for k in keys], [k[_cut(k) :] for k in keys]
+                hashes = np.array([reduce(lambda h, w: (h * SPREAD + xxhash.xxh3_64_intdigest(w)) % (1 << 64), p.split(b" "), 0) for p in phrases], np.uint64)
+                slots, of = np.zeros(len(keys), np.int64), np.array(heads, object)
+                for head in set(heads):
+                    slots[of == head] = _slot(head, hashes[of == head])
+                langs = pa.array([h[4:].decode("utf-8", "surrogatepass") for h in heads], pa.string())
+                yield pa.RecordBatch.from_arrays([langs, pa.array(phrases, pa.binary()), b.column(1).cast(pa.int64()), pa.array(slots)], ["lang", "phrase", "f", "slot"])
         finally:
             con.close()
             shutil.rmtree(own, ignore_errors=True)
 
-    return offered.repartition("lang", "phrase").mapInArrow(run, f"{GRAM}, slot long")
+    return offered.repartition("key").mapInArrow(run, FREQUENT)
 
 
 def _bit_map(counted: DataFrame) -> bytes | None:
@@ -178,10 +253,14 @@ def _bit_map(counted: DataFrame) -> bytes | None:
 def counts(found: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """(lang, phrase, f, words): the frequent phrases of 1 to ``longest`` words of distinct pieces."""
     levels, frequent = [], None
-    for n in range(1, longest + 1):
-        level = stored(frequent_phrases(_offered(found, n, frequent), least), f"phrase-counts-{n}")
-        levels.append(level.select("lang", F.col("phrase").cast("string").alias("phrase"), "f", F.lit(n).alias("words")))
-        if n == longest or (frequent := _bit_map(level)) is None:
+    for sizes in ([1], [2], list(range(3, longest + 1))):
+        sizes = [n for n in sizes if n <= longest]
+        if not sizes:
+            break
+        level = stored(frequent_phrases(_offered(found, sizes, frequent), least), "phrase-counts")
+        phrase = F.col("phrase").cast("string")
+        levels.append(level.select("lang", phrase.alias("phrase"), "f", F.size(F.split(phrase, " ")).alias("words")))
+        if sizes[-1] == longest or (frequent := _bit_map(level)) is None:
             break  # what is longer is not frequent either
     return reduce(DataFrame.unionByName, levels)
 
@@ -211,9 +290,7 @@ def collocations(
     ties go by count and then by the phrase's bytes. Other columns are ignored.
     """
     found = stored(pieces(docs, lang_col, text_col), "phrase-pieces")
-    text = F.col("phrase").cast("string")
-    n_words = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
-    totals = found.groupBy("lang").agg(F.sum(F.col("f") * n_words).alias("n"))
+    totals = word_totals(found)
     counted = stored(counts(found, longest, least), "phrase-counts")
     candidates = counted.where("words >= 2").withColumnRenamed("f", "a")
     words = F.split("phrase", " ")
