@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import unicodedata
 
 from pyspark.sql import Column
@@ -21,12 +22,63 @@ def _folding() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+@functools.cache
+def _spread() -> tuple[str, str]:
+    """A character class and, as JSON, what its characters become: those of the plane that stand for several (ligatures, fractions); not Hangul."""
+    found = {}
+    for c in map(chr, range(0x80, 0x10000)):
+        if not 0xD800 <= ord(c) < 0xE000 and not 0xAC00 <= ord(c) < 0xD7A4 and not unicodedata.combining(c):
+            base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+            if len(base) > 1:
+                found[c] = base
+    return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in found) + "]", json.dumps(found)
+
+
+def _by_character(text: Column, chars: str, table: str) -> Column:
+    """Text with each character of a class replaced as a JSON object says; texts without one are not taken apart."""
+    known = F.from_json(F.lit(table), "map<string,string>")
+    parts = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(known, c), c))
+    return F.when(text.rlike(chars), F.array_join(parts, "")).otherwise(text)
+
+
 def sort_key(text: Column) -> Column:
-    """Text without accents and compatibility forms, in lower case, for sorting by code point.
+    """Text without accents and compatibility forms, in lower case, for sorting by code point; a ligature is its letters."""
+    return F.lower(F.regexp_replace(_by_character(F.translate(text, *_folding()), *_spread()), r"\p{M}", ""))
+
+
+@functools.cache
+def _composed() -> str:
+    """As JSON, pairs of a character and a mark that canonically are one character."""
+    pairs = {}
+    for c in map(chr, range(0xC0, 0x10000)):
+        if not 0xD800 <= ord(c) < 0xE000:
+            parts = unicodedata.normalize("NFD", c)
+            if len(parts) > 1 and unicodedata.normalize("NFC", parts) == c and unicodedata.combining(parts[-1]):
+                pairs[unicodedata.normalize("NFC", parts[:-1]) + parts[-1]] = c
+    return json.dumps(pairs)
+
+
+@functools.cache
+def _singletons() -> tuple[str, str]:
+    pairs = [(c, n) for c in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(c) < 0xE000 and len(n := unicodedata.normalize("NFC", c)) == 1 and n != c]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def nfc(text: Column) -> Column:
+    """Text with marks composed with the character before them, as far as single characters of the first plane go."""
+    known = F.from_json(F.lit(_composed()), "map<string,string>")
+
+    def joined(cluster: Column) -> Column:
+        def add(acc: Column, mark: Column) -> Column:
+            whole = F.try_element_at(known, F.concat(F.element_at(acc, -1), mark))
+            return F.when(whole.isNotNull(), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(whole))).otherwise(F.concat(acc, F.array(mark)))
+
+        chars = F.split(cluster, "")
+        return F.array_join(F.aggregate(F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))), F.slice(chars, 1, 1), add), "")
 
-    Characters that decompose to several (such as ligatures) are kept.
-    """
-    return F.lower(F.regexp_replace(F.translate(text, *_folding()), r"\p{M}", ""))
+    clusters = F.regexp_extract_all(text, F.lit(r"(?s).\p{M}*"), F.lit(0))
+    plain = F.translate(text, *_singletons())
+    return F.when(text.rlike(r"\p{M}"), F.array_join(F.transform(clusters, lambda c: F.when(F.length(c) > 1, joined(c)).otherwise(c)), "")).otherwise(plain)
 
 
 def blank_to_null(text: Column) -> Column:

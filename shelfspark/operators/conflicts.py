@@ -7,33 +7,42 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions import text
+from shelfspark.functions import names, text
 from shelfspark.operators import decisions
 
 # Kinds of fields, and what is done about each decision.
 NUMBERS = ("Size", "TotalTime", "DiscNumber", "TrackNumber", "Year", "BitRate", "SampleRate", "PlayCount")
 DATES = ("DateAdded", "DateModified", "LastPlayed")
+ANALYSIS = ("AverageBpm", "Tonality", "TEMPO", "POSITION_MARK")
 HANDLING = {"never": "nothing", "same": "nothing", "wait": "wait", "send": "sendApp", "take": "takeExternal", "notTakenUp": "sendApp", "conflict": "review", "review": "review"}
 
 
+def field_kind(field: Column) -> Column:
+    """analysis, id or value: analysis fields and the track's id are never compared."""
+    return F.when(field.isin(*ANALYSIS), "analysis").when(field == "TrackID", "id").otherwise("value")
+
+
 def comparison_key(field: Column, value: Column) -> Column:
     """What a value is compared by, by its field's kind: number, date, stars, colour, address or text; null is no value.
 
-    A value that cannot be read as its kind is compared as it stands.
+    A rating that stands for no stars is compared as a number, text by its composed form, an
+    address by its decoded path without letter case; what cannot be read as its kind as it stands.
     """
     v = F.coalesce(value, F.lit(""))
     unread = F.when(v != "", F.concat(F.lit("?"), v))
-    stars = F.coalesce(text.stars_of(v), v.try_cast("int"))
     number = F.when(v.rlike("^[0-9]+$"), F.concat(F.lit("n"), F.regexp_replace(v, "^0+(?=.)", "")))
+    stars = F.coalesce(F.concat(F.lit("s"), text.stars_of(v).cast("string")), number)
     date = F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(F.lit("d"), F.try_to_date(v, "yyyy-MM-dd").cast("string")))
     colour = F.when(v.rlike("^0x[0-9A-Fa-f]{6}$"), F.lower(v))
+    address = names.upcase(text.nfc(F.replace(text.location_decode(v), F.lit("\\"), F.lit("/"))))
     return (
         F.when(field.isin(*NUMBERS), F.coalesce(number, unread))
         .when(field.isin(*DATES), F.coalesce(date, unread))
-        .when(field == "Rating", F.when(stars.isNotNull(), F.concat(F.lit("s"), stars.cast("string"))).otherwise(unread))
+        .when(field == "Rating", F.coalesce(stars, unread))
         .when(field == "Colour", F.coalesce(colour, unread))
-        .when(field == "Location", F.when(v != "", F.lower(text.location_decode(v))))
-        .otherwise(F.when(F.trim(v) != "", v))
+        .when(field == "Location", F.when(v != "", address))
+        .when(field_kind(field) != "value", unread)
+        .otherwise(F.when(F.trim(v) != "", text.nfc(v)))
     )
 
 
@@ -48,12 +57,32 @@ def sides(app: DataFrame, external: DataFrame, base: DataFrame, replaced: DataFr
     return rows.groupBy(*keys).agg(*(F.max(F.when(F.col("side__") == name, F.col("value"))).alias(name) for name in named))
 
 
-def detect(all_sides: DataFrame) -> DataFrame:
-    """``sides`` with the decision of the merge table on comparison keys, and its handling."""
-    names, no = ("app", "external", "base", "replaced"), F.lit(False)
-    keyed = all_sides.withColumns({f"{c}__": comparison_key(F.col("field"), F.col(c)) for c in names})
-    decided = decisions.merge_decision(F.lit("text"), *(F.col(f"{c}__") for c in names), F.col("external").isNotNull(), no, no)
-    return keyed.withColumn("decision", decided).drop(*(f"{c}__" for c in names)).withColumn("handling", handling(F.col("decision")))
+def detect(all_sides: DataFrame, entries: DataFrame | None = None, derived: DataFrame | None = None, keys: tuple[str, str] = ("track", "field")) -> DataFrame:
+    """``sides`` with the decision of the merge table on comparison keys, and its handling.
+
+    ``entries(track, stale)`` are the tracks that the other side has, stale if their row was
+    kept from an older read; without it a track is there if the field has a value. ``derived(track,
+    field)`` are the app's values that were worked out and not given. A side that says nothing
+    is not a blank value: no app value takes the other's, no base was never sent, and what a
+    send replaced is unknown if null.
+    """
+    names_of, rows = ("app", "external", "base", "replaced"), all_sides
+    track, field = (F.col(k) for k in keys)
+    if entries is not None:
+        own = entries.groupBy(F.col(keys[0]).alias("track__")).agg(F.max(F.coalesce("stale", F.lit(False))).alias("stale__"))
+        rows = rows.join(own, track == F.col("track__"), "left").withColumn("there__", F.col("track__").isNotNull()).drop("track__")
+    else:
+        rows = rows.withColumns({"stale__": F.lit(False), "there__": F.col("external").isNotNull()})
+    if derived is not None:
+        own = derived.select(F.col(keys[0]).alias("t__"), F.col(keys[1]).alias("f__")).distinct()
+        rows = rows.join(own, (track == F.col("t__")) & (field == F.col("f__")), "left").withColumn("derived__", F.col("t__").isNotNull()).drop("t__", "f__")
+    else:
+        rows = rows.withColumn("derived__", F.lit(False))
+    said = lambda c: F.lit(True) if c == "external" else F.col(c).isNotNull()
+    keyed = rows.withColumns({f"{c}__": F.when(said(c), F.coalesce(comparison_key(field, F.col(c)), F.lit(""))) for c in names_of})
+    decided = decisions.merge_decision(field_kind(field), *(F.col(f"{c}__") for c in names_of), F.col("there__"), F.coalesce("stale__", F.lit(False)), F.col("derived__"))
+    out = keyed.withColumn("decision", decided).withColumn("handling", handling(F.col("decision")))
+    return out.drop("stale__", "there__", "derived__", *(f"{c}__" for c in names_of))
 
 
 def sync(found: DataFrame, opened: DataFrame, keys: tuple[str, str] = ("track", "field")) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,8 +115,10 @@ def genre_model(rows: DataFrame, label: str = "label", column: str = "embedding"
     n, kind = sum(sizes.values()), rows.schema[label].dataType
     known = rows.sparkSession.createDataFrame([(v,) for v in sizes], T.StructType([T.StructField(label, kind)]))
     train = rows.join(F.broadcast(known), label).select(array_to_vector(column).alias("raw"), F.col(label).alias("own"))
-    scaler = StandardScaler(inputCol="raw", outputCol="x", withMean=True).fit(train)
-    train = scaler.transform(train).select("x", "own").persist()
+    seen = train.select(Summarizer.metrics("mean", "variance").summary(F.col("raw")).alias("s")).first().s
+    mean, spread = seen.mean.toArray(), np.sqrt(seen.variance.toArray() * (n - 1) / n)  # of the population
+    level = lambda v: F.transform(F.arrays_zip(v.alias("v"), F.lit(mean.tolist()).alias("m"), F.lit(spread.tolist()).alias("s")), lambda z: F.when(z["s"] > 1e-6, (z["v"] - z["m"]) / z["s"]).otherwise(0.0))
+    train = train.select(array_to_vector(level(vector_to_array("raw"))).alias("x"), "own").persist()
     method = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=10.0 / n, maxIter=300, standardization=False)
     models = []
     for v, inside in sizes.items():
@@ -124,16 +126,16 @@ def genre_model(rows: DataFrame, label: str = "label", column: str = "embedding"
         weight = F.when(own, n / (2.0 * inside)).otherwise(n / (2.0 * (n - inside)))
         models.append(method.fit(train.select("x", own.cast("double").alias("y"), weight.alias("w"))))
     train.unpersist()
-    return list(sizes), kind, scaler, models
+    return list(sizes), kind, (mean, spread), models
 
 
 def guesses(model, rows: DataFrame, column: str = "embedding", most: int = 3, least: float = 0.30) -> DataFrame:
     """Adds ``guesses``: the labels whose sigmoid is at least ``least``, best first."""
-    labels, kind, scaler, models = model
+    labels, kind, (mean, spread), models = model
     weights = np.array([m.coefficients.toArray() for m in models])
-    scale = np.where(scaler.std.toArray() > 1e-6, scaler.std.toArray(), np.inf)
+    scale = np.where(spread > 1e-6, spread, np.inf)
     w = weights / scale
-    bias = np.array([m.intercept for m in models]) - w @ scaler.mean.toArray()
+    bias = np.array([m.intercept for m in models]) - w @ mean
     fields = T.StructType().add("label", kind).add("bias", T.DoubleType()).add("w", T.ArrayType(T.DoubleType()))
     table = [(v, float(bias[i]), w[i].tolist()) for i, v in enumerate(labels)]  # one row, however many labels
     one = rows.sparkSession.createDataFrame([(table,)], T.StructType().add("models__", T.ArrayType(fields)))

@@ -130,50 +130,71 @@ def tag_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Sides of the fields: what the rows of four ranges of ``lineitem`` say.
-SIDE = "l_partkey AS track, CASE l_linenumber WHEN 1 THEN 'Rating' WHEN 2 THEN 'Year' WHEN 3 THEN 'Genre' ELSE 'DateAdded' END AS field"
-VALUE = "CASE l_linenumber WHEN 1 THEN concat('', least(l_suppkey % 3, 1) * 51) WHEN 2 THEN concat(CASE WHEN l_suppkey % 2 = 0 THEN '0' ELSE '' END, 1990 + l_suppkey % 3) WHEN 3 THEN CASE l_suppkey % 3 WHEN 0 THEN ' ' WHEN 1 THEN 'a' ELSE 'b' END ELSE '2024-01-02' END"
+SIDE = {
+    "track": "l_partkey",
+    "field": "CASE l_linenumber WHEN 1 THEN 'Rating' WHEN 2 THEN 'Year' WHEN 3 THEN 'Genre' WHEN 4 THEN 'DateAdded' WHEN 5 THEN 'AverageBpm' ELSE 'TrackID' END",
+}
+# ratings with and without stars or empty, years with zeros, composed and decomposed letters, dates, analysis
+VALUE = (
+    "CASE l_linenumber WHEN 1 THEN CASE l_suppkey % 4 WHEN 0 THEN '51' WHEN 1 THEN '1' WHEN 2 THEN '0' ELSE '' END WHEN 2 THEN concat(CASE WHEN l_suppkey % 2 = 0 THEN '0' ELSE '' END, 1990 + l_suppkey % 3) "
+    "WHEN 3 THEN CASE l_suppkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN 'caf\u00e9' WHEN 2 THEN 'cafe\u0301' ELSE 'b' END WHEN 4 THEN '2024-01-02' ELSE concat('', l_suppkey % 5) END"
+)
 SIDES = {"app": 0, "external": 1, "base": 2, "replaced": 3}
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber < 5").selectExpr(*_split(SIDE), f"{VALUE} AS value", "l_orderkey % 4 AS s")
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber < 7").select(*(F.expr(e).alias(c) for c, e in SIDE.items()), F.expr(VALUE).alias("value"), F.expr("l_orderkey % 4").alias("s"))
     return conflicts.sides(*(rows.where(f"s = {k}").groupBy("track", "field").agg(F.min("value").alias("value")) for k in SIDES.values()))
 
 
-KEY = "CASE WHEN field = 'Genre' THEN nullif(trim({0}), '') WHEN field = 'Rating' THEN coalesce({0}, '0') WHEN field = 'Year' THEN ltrim(nullif({0}, ''), '0') ELSE nullif({0}, '') END"
+def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With tracks the other side lacks, stale rows and derived ratings."""
+    rows = table(spark, sf_dir, "lineitem")
+    entries = rows.where("l_orderkey % 4 = 1").selectExpr("l_partkey AS track", "l_partkey % 13 = 0 AS stale")
+    derived = table(spark, sf_dir, "part").where("p_partkey % 4 = 0").selectExpr("p_partkey AS track", "'Rating' AS field")
+    return conflicts.detect(_sides(spark, sf_dir), entries, derived)
+
+
+KEY = (
+    "coalesce(CASE WHEN field = 'Genre' THEN CASE WHEN trim({0}) = '' THEN NULL ELSE nfc_normalize({0}) END WHEN field = 'Rating' THEN CASE coalesce({0}, '') WHEN '51' THEN 's1' WHEN '1' THEN 'n1' ELSE 's0' END "
+    "WHEN field = 'Year' THEN ltrim(nullif({0}, ''), '0') ELSE nullif({0}, '') END, '')"
+)
+_SAID = "CASE WHEN {0} IS NOT NULL THEN " + KEY + " END"
 DETECT_SQL = (
-    "r AS (SELECT {side}, {value} AS value, l_orderkey % 4 AS s FROM lineitem WHERE l_linenumber < 5), "
+    "r AS (SELECT {side}, {value} AS value, l_orderkey % 4 AS s FROM lineitem WHERE l_linenumber < 7), "
     "v AS (SELECT track, field, min(value) FILTER (s = 0) AS app, min(value) FILTER (s = 1) AS external, min(value) FILTER (s = 2) AS base, min(value) FILTER (s = 3) AS replaced FROM r GROUP BY 1, 2), "
-    "k AS (SELECT *, {a} AS a, {e} AS e, {b} AS b, {p} AS p FROM v), "
-    "d AS (SELECT track, field, app, external, CASE WHEN external IS NULL THEN 'send' WHEN a IS NULL THEN 'take' WHEN b IS NULL THEN CASE WHEN a IS NOT DISTINCT FROM e THEN 'same' WHEN e IS NOT DISTINCT FROM p THEN 'send' ELSE 'conflict' END "
-    "WHEN e IS NOT DISTINCT FROM b THEN CASE WHEN a IS DISTINCT FROM b THEN 'send' ELSE 'same' END WHEN a IS NOT DISTINCT FROM b THEN CASE WHEN e IS NOT DISTINCT FROM p THEN 'notTakenUp' ELSE 'take' END WHEN a IS NOT DISTINCT FROM e THEN 'same' ELSE 'conflict' END AS decision FROM k)"
-).format(side=SIDE, value=VALUE, a=KEY.format("app"), e=KEY.format("external"), b=KEY.format("base"), p=KEY.format("replaced"))
-DONE = "CASE decision WHEN 'same' THEN 'nothing' WHEN 'send' THEN 'sendApp' WHEN 'notTakenUp' THEN 'sendApp' WHEN 'take' THEN 'takeExternal' ELSE 'review' END"
+    "n AS (SELECT DISTINCT l_partkey AS track FROM lineitem WHERE l_orderkey % 4 = 1), "
+    "k AS (SELECT *, {a} AS a, {e} AS e, {b} AS b, {p} AS p, track IN (SELECT track FROM n) AS there FROM v), "
+    "d AS (SELECT track, field, app, external, CASE WHEN field IN ('AverageBpm', 'TrackID') THEN 'never' WHEN there AND track % 13 = 0 THEN 'wait' WHEN NOT there THEN 'send' WHEN a IS NULL THEN 'take' "
+    "WHEN b IS NULL THEN CASE WHEN a = e THEN 'same' WHEN e IS NOT DISTINCT FROM p THEN 'send' ELSE 'conflict' END WHEN e = b THEN CASE WHEN a <> b THEN 'send' ELSE 'same' END "
+    "WHEN a = b THEN CASE WHEN e IS NOT DISTINCT FROM p THEN 'notTakenUp' WHEN field = 'Rating' AND track % 4 = 0 THEN 'review' ELSE 'take' END WHEN a = e THEN 'same' ELSE 'conflict' END AS decision FROM k)"
+).format(side=", ".join(f"{e} AS {c}" for c, e in SIDE.items()), value=VALUE, a=_SAID.format("app"), e=KEY.format("external"), b=_SAID.format("base"), p=_SAID.format("replaced"))
+DONE = "CASE decision WHEN 'same' THEN 'nothing' WHEN 'never' THEN 'nothing' WHEN 'wait' THEN 'wait' WHEN 'send' THEN 'sendApp' WHEN 'notTakenUp' THEN 'sendApp' WHEN 'take' THEN 'takeExternal' ELSE 'review' END"
 
 
 @query(f"WITH {DETECT_SQL} SELECT track, field, decision, {DONE} AS handling FROM d")
 def detect_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conflicts.detect(_sides(spark, sf_dir)).select("track", "field", "decision", "handling")
+    return _detected(spark, sf_dir).select("track", "field", "decision", "handling")
 
 
-@query(f"WITH {DETECT_SQL} SELECT field, count(*) AS n FROM d WHERE decision = 'conflict' GROUP BY 1")
+@query(f"WITH {DETECT_SQL} SELECT field, count(*) AS n FROM d WHERE decision IN ('conflict', 'review') GROUP BY 1")
 def conflicts_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conflicts.open_by_field(conflicts.detect(_sides(spark, sf_dir)))
+    return conflicts.open_by_field(_detected(spark, sf_dir))
 
 
 OPENED = "SELECT DISTINCT o_custkey AS track, CASE WHEN o_orderkey % 2 = 0 THEN 'Genre' ELSE 'Year' END AS field FROM orders WHERE o_custkey % 3 <> 0"
 
 
-@query(f"WITH {DETECT_SQL}, c AS (SELECT track, field FROM d WHERE decision = 'conflict'), o AS ({OPENED}) SELECT coalesce(c.track, o.track) AS track, coalesce(c.field, o.field) AS field, CASE WHEN o.track IS NULL THEN 'opened' WHEN c.track IS NULL THEN 'closed' ELSE 'kept' END AS change FROM c FULL JOIN o ON c.track = o.track AND c.field = o.field")
+@query(f"WITH {DETECT_SQL}, c AS (SELECT track, field FROM d WHERE decision IN ('conflict', 'review')), o AS ({OPENED}) SELECT coalesce(c.track, o.track) AS track, coalesce(c.field, o.field) AS field, CASE WHEN o.track IS NULL THEN 'opened' WHEN c.track IS NULL THEN 'closed' ELSE 'kept' END AS change FROM c FULL JOIN o ON c.track = o.track AND c.field = o.field")
 def sync_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").where("o_custkey % 3 <> 0")
     opened = orders.select(F.col("o_custkey").alias("track"), F.when(F.col("o_orderkey") % 2 == 0, "Genre").otherwise("Year").alias("field")).distinct()
-    return conflicts.sync(conflicts.detect(_sides(spark, sf_dir)), opened)
+    return conflicts.sync(_detected(spark, sf_dir), opened)
 
 
-@query(f"WITH {DETECT_SQL}, x AS (SELECT *, ['app', 'external', 'edit'][track % 3 + 1] AS choice FROM d WHERE decision = 'conflict'), z AS (SELECT *, CASE choice WHEN 'app' THEN app WHEN 'external' THEN external ELSE '51' END AS value FROM x) SELECT track, field, value, ({KEY.format('value')}) IS DISTINCT FROM ({KEY.format('external')}) AS sent FROM z")
+@query(f"WITH {DETECT_SQL}, x AS (SELECT *, ['app', 'external', 'edit'][track % 3 + 1] AS choice FROM d WHERE decision IN ('conflict', 'review')), z AS (SELECT *, CASE choice WHEN 'app' THEN app WHEN 'external' THEN external ELSE '51' END AS value FROM x) SELECT track, field, value, ({KEY.format('value')}) IS DISTINCT FROM ({KEY.format('external')}) AS sent FROM z")
 def resolve_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = conflicts.detect(_sides(spark, sf_dir))
+    found = _detected(spark, sf_dir)
     choice = F.get(F.array(*map(F.lit, ("app", "external", "edit"))), (F.col("track") % 3).cast("int"))
     choices = found.select("track", "field", choice.alias("choice"), F.lit("51").alias("edit"))
     return conflicts.resolve(found, choices)

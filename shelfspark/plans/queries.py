@@ -477,12 +477,27 @@ def folder_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return membership.folder_contents(_tree(spark, sf_dir).select("node", "parent"), entries)
 
 
-@query("SELECT spelling, node, how FROM (VALUES ('Nation_7', 107::BIGINT, 'exact'), (' nATION 7!', 107, 'folded'), ('Asia (Nation_2)', 102, 'sub'), ('deutschland', 107, 'alias'), ('nowhere', NULL, NULL), ('Asia', 12, 'exact'), ('Europe (Nation_2)', NULL, NULL)) t(spelling, node, how)")
+#: How a customer spells its nation, and what that resolves to.
+SPELT = [
+    ("concat(substr(n_name, 1, 1), lower(substr(n_name, 2)))", "'exact'"),
+    ("'  ' || upper(n_name) || '!'", "'folded'"),
+    ("r_name || ' (' || lower(n_name) || ')'", "'sub'"),
+    ("'land no ' || n_nationkey", "CASE WHEN n_nationkey % 2 = 0 THEN 'alias' END"),
+    ("'nowhere ' || c_custkey", "NULL"),
+]
+
+
+def _spelt(k: int) -> str:
+    return "CASE c_custkey % 5 " + " ".join(f"WHEN {i} THEN {f[k]}" for i, f in enumerate(SPELT)) + " END"
+
+
+@query(f"SELECT DISTINCT spelling, CASE WHEN how IS NOT NULL THEN (n_nationkey + 100)::BIGINT END AS node, how FROM (SELECT {_spelt(0)} AS spelling, {_spelt(1)} AS how, n_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)")
 def genre_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = ["Nation_7", " nATION 7!", "Asia (Nation_2)", "deutschland", "nowhere", "Asia", "Europe (Nation_2)"]
-    spelled = spark.range(len(words)).select(F.element_at(F.array(*map(F.lit, words)), (F.col("id") + 1).cast("int")).alias("spelling"))
-    aliases = spark.range(1).select(F.lit("Deutschland").alias("alias"), F.lit(107).cast("long").alias("node"))
-    return genres.resolve(spelled, _tree(spark, sf_dir), aliases)
+    """Spellings of customers' nations: as named, folded, with the region in front, by an alias, or unknown."""
+    customer, nation, region = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    rows = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    aliases = nation.where("n_nationkey % 2 = 0").select(F.concat(F.lit("Land-No. "), F.col("n_nationkey").cast("string")).alias("alias"), (F.col("n_nationkey") + 100).cast("long").alias("node"))
+    return genres.resolve(rows.select(F.expr(_spelt(0)).alias("spelling")), _tree(spark, sf_dir), aliases)
 
 
 @query("SELECT node, count(c_custkey) AS n FROM (SELECT n_nationkey + 100 AS node FROM nation UNION ALL SELECT r_regionkey + 10 FROM region UNION ALL SELECT 1) LEFT JOIN customer ON c_nationkey + 100 = node GROUP BY node")
