@@ -123,6 +123,23 @@ def skip_reason(kind: Column, location: Column) -> Column:
     return F.when(kind.isin("demo", "sampler"), kind).when(location.isNull() | (F.trim(location) == ""), "deleted").when(location.rlike("^(soundcloud|tidal|beatport|https?):"), "streaming")
 
 
-def fragile(path: Column, kind: Column, downloads: str, temp: str) -> Column:
-    """Why a file may not stay where it is."""
-    return F.when(path.startswith(downloads), "downloads").when(path.startswith(temp), "temp").when(kind.isin("external", "network"), kind)
+def _path_parts(path: Column) -> Column:
+    """A path's parts in upper case; a long-path prefix, empty parts and single dots do not count."""
+    bare = F.regexp_replace(F.regexp_replace(path, r"(?i)^\\\\\?\\UNC\\", ""), r"^\\\\\?\\", "")
+    return F.transform(F.filter(F.split(bare, r"[\\/]"), lambda p: (p != "") & (p != ".")), lambda p: F.upper(p))
+
+
+def fragile(path: Column, kind: Column, downloads: str, temp: list[str]) -> Column:
+    """Why a file may not stay where it is: downloads, temp, external or network; null if it may.
+
+    A folder holds what begins with its parts, whatever their letter case; one of fewer than two parts holds nothing.
+    """
+
+    def inside(folder: str) -> Column:
+        own = [p.upper() for p in folder.replace("\\", "/").split("/") if p not in ("", ".")]
+        return F.slice(_path_parts(path), 1, len(own)) == F.array(*map(F.lit, own)) if len(own) >= 2 else F.lit(False)
+
+    in_temp = F.lit(False)
+    for folder in temp:
+        in_temp = in_temp | inside(folder)
+    return F.when(inside(downloads), "downloads").when(in_temp, "temp").when(kind.isin("external", "network"), kind)

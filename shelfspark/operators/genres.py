@@ -32,6 +32,18 @@ def resolve(spellings: DataFrame, nodes: DataFrame, aliases: DataFrame) -> DataF
     return own.select("spelling", F.coalesce("exact", "folded", "sub", "aliased").alias("node"), how.alias("how"))
 
 
+def spellings(rows: DataFrame, nodes: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(spelling, tracks, node, how): each spelling of ``rows(genre)``, how many tracks use it, and what it resolves to."""
+    counted = rows.where("genre IS NOT NULL").groupBy(F.col("genre").alias("spelling")).agg(F.count("*").alias("tracks"))
+    return counted.join(resolve(counted.select("spelling"), nodes, aliases), "spelling")
+
+
+def unmapped(rows: DataFrame, nodes: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(spelling, tracks) of the spellings that resolve to nothing; a null one stands for the tracks without a genre."""
+    none = rows.where("genre IS NULL").agg(F.count("*").alias("tracks")).select(F.lit(None).cast("string").alias("spelling"), "tracks")
+    return spellings(rows, nodes, aliases).where("node IS NULL").select("spelling", "tracks").unionByName(none)
+
+
 def tree_counts(rows: DataFrame, nodes: DataFrame, node: str) -> DataFrame:
     """Rows of each node, zeros included."""
     counts = rows.groupBy(node).agg(F.count("*").alias("n"))

@@ -51,7 +51,9 @@ def _parts(target: Mapping[str, Any], settings: Settings) -> dict[str, Column]:
     if target.get("played"):
         out["played"] = 1 - F.pow(F.lit(0.5), F.least(F.coalesce("played", F.lit(0)), F.lit(30)))
     if has("genre"):
-        out["genre"] = F.when(F.col("genre_node") == target["genre"][0], 1.0).when(F.col("genre_parent") == target["genre"][1], 0.5).otherwise(0.0)
+        node, parent = (F.lit(x).cast("long") for x in target["genre"])
+        beside = (F.col("genre_parent") == parent) | (F.col("genre_parent") == node) | (F.col("genre_node") == parent)
+        out["genre"] = F.when(F.col("genre_node") == node, 1.0).when(beside, 0.5).otherwise(0.0)
     if target.get("tags"):
         n = min(max(len(target["tags"]), 1), 3)
         shared = F.size(F.array_intersect("tags", F.array(*map(F.lit, target["tags"]))))
