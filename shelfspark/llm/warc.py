@@ -14,7 +14,7 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -32,8 +32,10 @@ BROADCAST_ROWS = 200_000
 FILE_BYTES = 1 << 26
 #: Payloads of up to so many bytes share files; larger ones have files of their own.
 BANDS = (1 << 12, 1 << 16, 1 << 20, 1 << 24)
-#: A gzip member is inflated to so many bytes at most; what follows counts as cut off.
-MEMBER_BYTES = 1 << 29
+#: A gzip member that inflates to more bytes is read as a stream, a record at a time.
+MEMBER_BYTES = 1 << 26
+#: Bytes of content that a stream is read ahead by.
+AHEAD = 1 << 22
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP = b"\x1f\x8b\x08"
@@ -144,14 +146,101 @@ def parse_record(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
     return end + 4, head, block
 
 
-def inflate(data: bytes, at: int) -> tuple[int, bytes, str]:
-    """(end, content, "") of the gzip member at an offset; of one that the file's end cuts off what it still yields, and why it failed."""
+def inflate(data: bytes, at: int) -> tuple[int, bytes | None, str]:
+    """(end, content, "") of the gzip member at an offset; of one that the file's end cuts off what it still yields, and why it failed.
+
+    The content is None if it is larger than ``MEMBER_BYTES``.
+    """
     d = zlib.decompressobj(31)
     try:
         out = d.decompress(memoryview(data)[at:], MEMBER_BYTES)
+        if d.eof or len(out) < MEMBER_BYTES:
+            return len(data) - len(d.unused_data), out, "" if d.eof else "gzip: truncated"
+        while not d.eof and d.decompress(d.unconsumed_tail, AHEAD):  # its end and its checksum, nothing kept
+            pass
     except zlib.error as e:
         return at, b"", f"gzip: {e}"
-    return len(data) - len(d.unused_data), out, "" if d.eof else "gzip: too large" if d.unconsumed_tail else "gzip: truncated"
+    return len(data) - len(d.unused_data), None, "" if d.eof else "gzip: truncated"
+
+
+class _Content:
+    """The content of a large gzip member as a window that moves on; ``size`` is that of the whole content."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.at, self.size = data, at, 0
+        d = zlib.decompressobj(31)
+        rest: bytes | memoryview = memoryview(data)[at:]
+        while not d.eof and (n := len(d.decompress(rest, AHEAD))):
+            self.size += n
+            rest = d.unconsumed_tail
+        self.begin()
+
+    def begin(self) -> None:
+        self.d, self.rest = zlib.decompressobj(31), memoryview(self.data)[self.at :]
+        self.held, self.first = b"", 0
+
+    def upto(self, end: int) -> bool:
+        """Hold the content up to an offset; whether it goes so far."""
+        parts = [self.held]
+        have = self.first + len(self.held)
+        while have < min(end, self.size):
+            part = self.d.decompress(self.rest, AHEAD)
+            self.rest = self.d.unconsumed_tail
+            parts.append(part)
+            have += len(part)
+        self.held = b"".join(parts)
+        return have >= end
+
+    def drop(self, until: int) -> None:
+        """Let go of what is before an offset."""
+        self.held, self.first = self.held[until - self.first :], until
+
+    def parts(self) -> Iterator[tuple[str, int, int, dict[str, str], bytes, str]]:
+        """What ``salvage`` makes of the content, from its begin, with one record in memory."""
+        self.begin()
+        at, lost, reason = 0, None, ""
+        while at < self.size:
+            self.upto(at + AHEAD)
+            self.drop(at)
+            try:
+                end, head, block = self._record()
+            except ValueError as e:
+                if lost is None:
+                    lost, reason = at, str(e)
+                at = self._next(at + 1)
+                continue
+            if lost is not None:
+                yield "gap", lost, at, {}, b"", reason
+                lost = None
+            yield "record", at, at + end, head, block, ""
+            at += end
+        if lost is not None:
+            yield "gap", lost, self.size, {}, b"", reason
+
+    def _record(self) -> tuple[int, dict[str, str], bytes]:
+        """The record at the window's begin, read on as far as its header says and the content goes."""
+        ahead = AHEAD
+        while START.match(self.held) and self.held.find(b"\r\n\r\n", 8) < 0 and self.first + len(self.held) < self.size:
+            ahead *= 2
+            self.upto(self.first + ahead)
+        length = re.search(rb"(?i)\ncontent-length:[ \t]*([0-9]+)[ \t]*\r\n", self.held[: self.held.find(b"\r\n\r\n", 8) + 4])
+        if length:
+            end = self.held.find(b"\r\n\r\n", 8) + 8 + int(length[1])
+            if self.first + end <= self.size:
+                self.upto(self.first + end)
+        return parse_record(self.held, 0)
+
+    def _next(self, at: int) -> int:
+        """Where the next version line begins, or the content's end."""
+        while True:
+            if m := START.search(self.held, at - self.first):
+                return self.first + m.start()
+            have = self.first + len(self.held)
+            if have >= self.size:
+                return self.size
+            at = max(at, have - 9)  # a line may begin in what is held
+            self.drop(at)
+            self.upto(have + AHEAD)
 
 
 def _used(data: bytes, at: int, size: int) -> int:
@@ -173,35 +262,48 @@ def salvage(data: bytes, members: bool = True) -> Iterator[tuple[str, int, int,
     checksum is wrong is a gap.
     """
     at, lost, reason, zipped, plain = 0, None, "", -1, -1
-    held: list[tuple[dict[str, str], bytes]] = []  # good records of a cut member, which begins at lost
+    held: Callable[[], Iterable[tuple[dict[str, str], bytes]]] = tuple  # good records of a cut member, which begins at lost
 
     def closed(end: int) -> Iterator[tuple[str, int, int, dict[str, str], bytes, str]]:
         yield "gap", lost, end, {}, b"", reason
-        for head, block in held:
+        for head, block in held():
             yield "record", lost, end, head, block, ""
 
     while at < len(data):
-        found, bad, search = [], "", at + 1
+        bad, search = "", at + 1
+        found: Callable[[], Iterable[tuple[dict[str, str], bytes]]] = tuple
         if members and data.startswith(GZIP, at):
             end, inner, failed = inflate(data, at)
-            parts = list(salvage(inner, False))
-            found = [(p[3], p[4]) for p in parts if p[0] == "record"]
-            bad = "; ".join([*filter(None, [failed]), *(f"content {p[1]}-{p[2]}: {p[5]}" for p in parts if p[0] == "gap")])
-            if failed and found:
+            if inner is None:  # twice through the content: what is in it, then its records one by one
+                content = _Content(data, at)
+                gaps, last = [], 0
+                for p in content.parts():
+                    if p[0] == "gap":
+                        gaps.append(p)
+                    else:
+                        last = p[2]
+                found = lambda c=content: ((p[3], p[4]) for p in c.parts() if p[0] == "record")
+            else:
+                parts = list(salvage(inner, False))
+                gaps = [p for p in parts if p[0] == "gap"]
+                last = max((p[2] for p in parts if p[0] == "record"), default=0)
+                found = lambda good=[(p[3], p[4]) for p in parts if p[0] == "record"]: good
+            bad = "; ".join([*filter(None, [failed]), *(f"content {p[1]}-{p[2]}: {p[5]}" for p in gaps)])
+            if failed and last:
                 if lost is not None:
                     yield from closed(at)
                 lost, reason, held = at, bad, found
-                search = max(at + 1, _used(data, at, max(p[2] for p in parts if p[0] == "record")))
-            whole = not failed and (bool(found) or not bad)
+                search = max(at + 1, _used(data, at, last))
+            whole = not failed and (last > 0 or not bad)
         else:
             try:
                 end, head, block = parse_record(data, at)
-                found, whole = [(head, block)], True
+                found, whole = (lambda one=((head, block),): one), True
             except ValueError as e:
                 bad, whole = str(e), False
         if not whole:
             if lost is None:
-                lost, reason, held = at, bad, []
+                lost, reason, held = at, bad, tuple
             if zipped < search:
                 zipped = data.find(GZIP, search) % (len(data) + 1)  # the length if there is none
             if plain < search:
@@ -210,10 +312,10 @@ def salvage(data: bytes, members: bool = True) -> Iterator[tuple[str, int, int,
             continue
         if lost is not None:
             yield from closed(at)
-            lost, held = None, []
+            lost, held = None, tuple
         if bad:
             yield "gap", at, end, {}, b"", bad
-        for head, block in found:
+        for head, block in found():
             yield "record", at, end, head, block, ""
         at = end
     if lost is not None:
