@@ -192,7 +192,23 @@ def next_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.next_for(tracks(spark, sf_dir), TARGET)
 
 
-@query()
+def _key_fits(a: int) -> str:
+    steps, same = f"least(abs(key_order // 2 - {a // 2}), 12 - abs(key_order // 2 - {a // 2}))", f"key_order % 2 = {a % 2}"
+    return f"coalesce(CASE WHEN {steps} = 0 AND {same} THEN 1.0 WHEN {steps} = 0 OR ({steps} = 1 AND {same}) THEN 0.8 WHEN {steps} = 2 AND {same} THEN 0.5 WHEN {steps} = 1 THEN 0.4 END, 0)::DOUBLE"
+
+
+def _tempo_fits(t: int) -> str:
+    gap = f"least(abs(bpm - {t}), abs(bpm * 2 - {t}), abs(bpm / 2 - {t}))"
+    return f"coalesce(CASE WHEN {gap} <= 3 THEN 1.0 WHEN {gap} <= 6 THEN 0.75 WHEN {gap} <= 12 THEN 0.5 WHEN {gap} <= 20 THEN 0.25 END, 0)::DOUBLE"
+
+
+@query(
+    f"{WITH}, f AS (SELECT recording_id, energy IS NULL AS lacks, least({_key_fits(8)}, {_key_fits(12)}) AS k, least({_tempo_fits(100)}, {_tempo_fits(110)}) AS b, "
+    "CASE abs(round(energy - 6.5)) WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 WHEN 2 THEN 0.5 WHEN 3 THEN 0.25 ELSE 0 END::DOUBLE AS e FROM tracks WHERE recording_id NOT IN (30, 31)), "
+    "s AS (SELECT recording_id, lacks AS lacks_energy, (k * 4 + b * 4 + CASE WHEN lacks THEN 0 ELSE e * 2 END) / CASE WHEN lacks THEN 8 ELSE 10 END AS raw, "
+    "array_to_string(list_transform(list_filter(list_sort([{'w': -k * 4, 'i': 0, 'n': 'key'}, {'w': -b * 4, 'i': 1, 'n': 'bpm'}, {'w': CASE WHEN lacks THEN 0 ELSE -e * 2 END, 'i': 2, 'n': 'energy'}]), lambda x: x.w < 0), lambda x: x.n), ',') AS reasons FROM f) "
+    "SELECT recording_id, round(raw * 100)::INTEGER AS score, reasons, lacks_energy FROM s WHERE round(raw * 100) > 0 AND reasons <> '' ORDER BY lacks_energy, raw DESC, recording_id LIMIT 50"
+)
 def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.bridge(tracks(spark, sf_dir), TARGET, {"recording_id": 31, "key_order": 12, "bpm": 110.0, "energy": 8}, recommend.Settings(wide=True))
 

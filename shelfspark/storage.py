@@ -7,11 +7,16 @@ setting is absent and Spark runs in local mode, as in tests.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Lists of the paths made inside ``scratch`` blocks that are open.
+_scratch: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
@@ -26,7 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing has used yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _scratch:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Delete at the end what was written to new paths inside; results must have been written or collected by then.
+
+    The paths are yielded as they come; take out of the list what is to stay.
+    """
+    made: list[str] = []
+    _scratch.append(made)
+    try:
+        yield made
+    finally:
+        _scratch[:] = [x for x in _scratch if x is not made]
+        remove(spark, *made)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

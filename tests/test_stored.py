@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from shelfspark.operators import changelog, search_index
 from shelfspark.operators.numbering import numbered
 from shelfspark.sources.keyed_table import KeyedTable
-from shelfspark.storage import new_path
+from shelfspark.storage import new_path, scratch, stored
 
 
 def kept(spark, key=("k",), columns="k long, v string"):
@@ -114,3 +114,20 @@ def test_undo_is_refused_or_replayed(spark):
     clash = log.withColumn("undone", F.col("operation") == 2).unionByName(log.where("operation = 2 AND id = 2").withColumn("operation", F.lit(0).cast("long")).withColumn("seq", F.lit(9).cast("long")))
     refused, nothing = changelog.undo_next(clash)
     assert nothing.count() == 0 and refused.count() == clash.count()
+
+
+def test_scratch_is_cleared(spark, tmp_path):
+    from pathlib import Path
+
+    here = lambda p: Path(p.removeprefix("file://")).exists()
+    with scratch(spark) as outer:
+        with scratch(spark) as made:
+            rows = stored(spark.range(5), "scratch-test")
+            kept_path = new_path(spark, "scratch-kept")
+            rows.write.parquet(kept_path)
+            assert here(made[0]) and len(made) == 2
+            made.remove(kept_path)
+            outer.remove(kept_path)
+            total = rows.count()
+        assert total == 5 and not here(outer[0]) and here(kept_path)
+    assert spark.read.parquet(kept_path).count() == 5
