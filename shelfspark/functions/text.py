@@ -22,23 +22,35 @@ def _folding() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+#: Where the Latin letters of the first plane end.
+LATIN_END = 0x250
+
+
 @functools.cache
-def _spread() -> tuple[str, str]:
-    """A character class and, as JSON, what its characters become: those of the plane that stand for several (ligatures, fractions); not Hangul."""
+def _spread() -> tuple[str, str, str]:
+    """Two character classes and, as JSON, what characters become: those of the plane that stand for several (ligatures, fractions); not Hangul."""
     found = {}
     for c in map(chr, range(0x80, 0x10000)):
         if not 0xD800 <= ord(c) < 0xE000 and not 0xAC00 <= ord(c) < 0xD7A4 and not unicodedata.combining(c):
             base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
             if len(base) > 1:
                 found[c] = base
-    return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in found) + "]", json.dumps(found)
-
-
-def _by_character(text: Column, chars: str, table: str) -> Column:
+    runs: list[list[int]] = []
+    for c in map(ord, found):
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    spelt = lambda runs: "[" + "".join(f"\\x{{{a:X}}}-\\x{{{z:X}}}" for a, z in runs) + "]"
+    # few texts get past the first class, which is short
+    return spelt([r for r in runs if r[0] < LATIN_END] + [[LATIN_END, 0xFFFF]]), spelt(runs), json.dumps(found)
+
+
+def _by_character(text: Column, maybe: str, chars: str, table: str) -> Column:
     """Text with each character of a class replaced as a JSON object says; texts without one are not taken apart."""
     known = F.from_json(F.lit(table), "map<string,string>")
     parts = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(known, c), c))
-    return F.when(text.rlike(chars), F.array_join(parts, "")).otherwise(text)
+    return F.when(text.rlike(maybe) & text.rlike(chars), F.array_join(parts, "")).otherwise(text)
 
 
 def sort_key(text: Column) -> Column:
