@@ -30,17 +30,31 @@ def postings(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
 
     Null texts have no tokens.
     """
+    return _gathered(_tokens(rows, id_col, columns))
+
+
+def _tokens(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     each = [rows.select(F.col(id_col).alias("id"), F.lit(k).alias("place"), F.posexplode(tokens(F.col(c).cast("string"))).alias("at", "token")) for k, c in enumerate(columns)]
-    return reduce(DataFrame.unionByName, each).groupBy("token", "id", "place").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+    return reduce(DataFrame.unionByName, each).select("token", "id", "place", "at")
 
 
-def build(rows: DataFrame, id_col: str, columns: list[str], path: str) -> DataFrame:
-    """Write the posting table and read it back. Ids tell rows apart."""
-    made = postings(rows, id_col, columns)
-    made.repartitionByRange("token", "id").sortWithinPartitions("token", "id", "place").write.parquet(path)
+def _gathered(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("token", "id", "place").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+
+
+def _written(made: DataFrame, path: str) -> DataFrame:
+    made.sortWithinPartitions("token", "id", "place").write.parquet(path)
     return made.sparkSession.read.schema(made.schema).parquet(path)
 
 
+def build(rows: DataFrame, id_col: str, columns: list[str], path: str) -> DataFrame:
+    """Write the posting table and read it back. Ids tell rows apart.
+
+    Words are dealt into ranges and put together there, so they are shuffled once.
+    """
+    return _written(_gathered(_tokens(rows, id_col, columns).repartitionByRange("token", "id", "place")), path)
+
+
 def _range(index: DataFrame, token: str, prefix: bool) -> DataFrame:
     if prefix:
         return index.where((F.col("token") >= token) & (F.col("token") < token + LAST) & F.col("token").startswith(token))
@@ -84,11 +98,8 @@ def suggest(index: DataFrame, beginning: str, most: int = 10) -> DataFrame:
 
 def refreshed(index: DataFrame, changed: DataFrame, id_col: str, columns: list[str], path: str) -> DataFrame:
     """The index with the postings of changed rows made anew; rows that only have an id are gone from it."""
-    fresh = postings(changed, id_col, columns)
     kept = index.join(changed.select(F.col(id_col).alias("id")).distinct(), "id", "left_anti")
-    made = kept.unionByName(fresh)
-    made.repartitionByRange("token", "id").sortWithinPartitions("token", "id", "place").write.parquet(path)
-    return index.sparkSession.read.schema(made.schema).parquet(path)
+    return _written(kept.unionByName(postings(changed, id_col, columns)).repartitionByRange("token", "id", "place"), path)
 
 
 def stored_index(spark: SparkSession, path: str) -> DataFrame:

@@ -19,10 +19,10 @@ def title_keys(parsed: str) -> Column:
     return F.array_distinct(F.filter(F.array(names.version_key(F.col(f"{parsed}.title")), names.version_key(F.col(f"{parsed}.core"))), lambda k: k != ""))
 
 
-def _keyed(rows: DataFrame, id_col: str, parsed: str) -> DataFrame:
-    """(id, artist_key, title_key): a row for each pair of an artist and a reading of the title."""
-    keys = rows.select(id_col, F.explode(names.artist_keys(F.col("artist"))).alias("artist_key"), title_keys(parsed).alias("t"))
-    return keys.select(id_col, "artist_key", F.explode("t").alias("title_key"))
+def _keyed(rows: DataFrame, id_col: str, keys: DataFrame) -> DataFrame:
+    """(id, name, artist_key, title_key): a row for each pair of an artist and a reading of the title."""
+    own = rows.select(id_col, "name", F.explode(names.artist_keys(F.col("artist"))).alias("artist_key"))
+    return own.join(keys, "name").select(id_col, F.col("name").alias(f"{id_col}_name"), "artist_key", F.explode("keys").alias("title_key"))
 
 
 def find(wishes: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -32,17 +32,24 @@ def find(wishes: DataFrame, tracks: DataFrame) -> DataFrame:
     are titles with their version. A recording code decides alone (its lowest track); else tracks
     that share an artist and a reading of the title are compared by their labels, the same
     version before another cut before a rework, library tracks first, then the lowest. Artists and
-    titles are joined together, so a frequent artist makes no pairs of all its titles.
+    titles are joined together, so a frequent artist makes no pairs of all its titles. Each
+    different name is parsed once, and each two that meet are compared once.
     """
     own = lambda df: df.withColumn("isrc", text.isrc(F.col("isrc")))
-    wishes = stored(releases.parse_releases(own(wishes), F.col("name"), "w", False), "wishes")
-    tracks = stored(releases.parse_releases(own(tracks), F.col("name"), "t", False), "wish-tracks")
-    codes = tracks.where("isrc IS NOT NULL").groupBy("isrc").agg(F.min(F.struct("track", "library")).alias("x")).select("isrc", F.col("x.track").alias("coded"))
-    met = _keyed(wishes, "wish", "w").join(_keyed(tracks, "track", "t"), ["artist_key", "title_key"]).select("wish", "track").distinct()
-    pairs = met.join(wishes.select("wish", "w"), "wish").join(tracks.select("track", "library", "t"), "track")
-    related = releases.relate(pairs, "w", "t")
+    wishes, tracks = own(wishes), own(tracks)
+    different = wishes.select("name").unionByName(tracks.select("name")).where("name IS NOT NULL").distinct()
+    parsed = stored(releases.parse_releases(different, F.col("name"), "n", False), "wish-names")
+    keys = parsed.select("name", title_keys("n").alias("keys"))
+    codes = tracks.where("isrc IS NOT NULL").groupBy("isrc").agg(F.min("track").alias("coded"))
+    met = _keyed(wishes, "wish", keys).join(_keyed(tracks, "track", keys), ["artist_key", "title_key"]).select("wish", "wish_name", "track", "track_name").distinct()
+    met = stored(met, "wish-pairs")
+    pairs = met.select("wish_name", "track_name").distinct()
+    for c in ("wish", "track"):
+        pairs = pairs.join(parsed.select(F.col("name").alias(f"{c}_name"), F.col("n").alias(c)), f"{c}_name")
+    related = releases.relate(pairs, "wish", "track")
     rank = F.coalesce(*(F.when(F.col("relation") == r, k) for r, k in RANKS.items()))
-    best = related.withColumn("rank", rank).where("rank IS NOT NULL").groupBy("wish").agg(F.min(F.struct(-F.col("rank"), ~F.coalesce("library", F.lit(False)), F.col("track"), F.col("rank").alias("rank"))).alias("x"))
+    ranked = met.join(related.select("wish_name", "track_name", rank.alias("rank")).where("rank IS NOT NULL"), ["wish_name", "track_name"]).join(tracks.select("track", "library"), "track")
+    best = ranked.groupBy("wish").agg(F.min(F.struct(-F.col("rank"), ~F.coalesce("library", F.lit(False)), F.col("track"), F.col("rank").alias("rank"))).alias("x"))
     found = wishes.select("wish", "isrc").join(codes, "isrc", "left").join(best.select("wish", F.col("x.track").alias("named"), F.col("x.rank").alias("rank")), "wish", "left")
     outcome = F.when(F.col("coded").isNotNull(), "owned")
     for k, name in OUTCOMES.items():
