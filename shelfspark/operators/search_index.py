@@ -50,8 +50,11 @@ def _written(made: DataFrame, path: str) -> DataFrame:
 def build(rows: DataFrame, id_col: str, columns: list[str], path: str) -> DataFrame:
     """Write the posting table and read it back. Ids tell rows apart.
 
-    Words are dealt into ranges and put together there, so they are shuffled once.
+    Words are dealt into ranges and put together there, so they are shuffled once. Texts are
+    dealt out first only where a small table has fewer partitions than there are cores.
     """
+    rows, cores = rows.select(id_col, *columns), rows.sparkSession.sparkContext.defaultParallelism
+    rows = rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
     return _written(_gathered(_tokens(rows, id_col, columns).repartitionByRange("token", "id", "place")), path)
 
 
