@@ -45,7 +45,7 @@ def matching(rows: DataFrame, query: dict[str, Any], entries: DataFrame | None =
 
 
 def page(rows: DataFrame, query: dict[str, Any], entries: DataFrame | None = None) -> DataFrame:
-    """A window of at most 500 rows; only the sort columns and the id go through the sort's top-k."""
+    """A window of at most 500 rows. Whole rows go through the top-k, offset and limit together for each partition: one scan, and no second one for the rows shown."""
     found = matching(rows, query, entries)
     extra = ("position",) if entries is not None and query["source"] == "playlist" else ()
     if extra and not query.get("sort"):
