@@ -19,12 +19,6 @@ def title_keys(parsed: str) -> Column:
     return F.array_distinct(F.filter(F.array(names.version_key(F.col(f"{parsed}.title")), names.version_key(F.col(f"{parsed}.core"))), lambda k: k != ""))
 
 
-def _keyed(rows: DataFrame, id_col: str, keys: DataFrame) -> DataFrame:
-    """(id, name, artist_key, title_key): a row for each pair of an artist and a reading of the title."""
-    own = rows.select(id_col, "name", F.explode(names.artist_keys(F.col("artist"))).alias("artist_key"))
-    return own.join(keys, "name").select(id_col, F.col("name").alias(f"{id_col}_name"), "artist_key", F.explode("keys").alias("title_key"))
-
-
 def find(wishes: DataFrame, tracks: DataFrame) -> DataFrame:
     """(wish, outcome, track, by_isrc): owned, otherCut, rework or missing, and the track that says so.
 
@@ -33,7 +27,8 @@ def find(wishes: DataFrame, tracks: DataFrame) -> DataFrame:
     that share an artist and a reading of the title are compared by their labels, the same
     version before another cut before a rework, library tracks first, then the lowest. Artists and
     titles are joined together, so a frequent artist makes no pairs of all its titles. Each
-    different name is parsed once, and each two that meet are compared once.
+    different artist and name is parsed once, and each two that meet are compared once: wishes of one artist
+    and name are one entry, and of the tracks of one artist and name only the first can be its answer.
     """
     own = lambda df: df.withColumn("isrc", text.isrc(F.col("isrc")))
     wishes, tracks = own(wishes), own(tracks)
@@ -41,15 +36,22 @@ def find(wishes: DataFrame, tracks: DataFrame) -> DataFrame:
     parsed = stored(releases.parse_releases(different, F.col("name"), "n", False), "wish-names")
     keys = parsed.select("name", title_keys("n").alias("keys"))
     codes = tracks.where("isrc IS NOT NULL").groupBy("isrc").agg(F.min("track").alias("coded"))
-    met = _keyed(wishes, "wish", keys).join(_keyed(tracks, "track", keys), ["artist_key", "title_key"]).select("wish", "wish_name", "track", "track_name").distinct()
-    met = stored(met, "wish-pairs")
+    artists = stored(wishes.select("artist").unionByName(tracks.select("artist")).distinct().select("artist", names.artist_keys(F.col("artist")).alias("artist_keys")), "wish-artists")
+    by_artist = lambda rows: rows.where("name IS NOT NULL").join(artists, "artist").withColumn("artist_key", F.explode("artist_keys"))
+    wanted = by_artist(wishes).select("wish", "artist_key", F.col("name").alias("wish_name"))
+    order = F.struct((~F.coalesce("library", F.lit(False))).alias("outside"), "track")
+    first = stored(by_artist(tracks).groupBy("artist_key", F.col("name").alias("track_name")).agg(F.min(order).alias("first")), "wish-tracks")
+    read = lambda rows, c: rows.join(keys.withColumnRenamed("name", c), c).select("artist_key", c, F.explode("keys").alias("title_key"))
+    met = read(wanted.select("artist_key", "wish_name").distinct(), "wish_name").join(read(first, "track_name"), ["artist_key", "title_key"])
+    met = stored(met.select("artist_key", "wish_name", "track_name").distinct(), "wish-pairs")
     pairs = met.select("wish_name", "track_name").distinct()
     for c in ("wish", "track"):
         pairs = pairs.join(parsed.select(F.col("name").alias(f"{c}_name"), F.col("n").alias(c)), f"{c}_name")
     related = releases.relate(pairs, "wish", "track")
     rank = F.coalesce(*(F.when(F.col("relation") == r, k) for r, k in RANKS.items()))
-    ranked = met.join(related.select("wish_name", "track_name", rank.alias("rank")).where("rank IS NOT NULL"), ["wish_name", "track_name"]).join(tracks.select("track", "library"), "track")
-    best = ranked.groupBy("wish").agg(F.min(F.struct(-F.col("rank"), ~F.coalesce("library", F.lit(False)), F.col("track"), F.col("rank").alias("rank"))).alias("x"))
+    ranked = met.join(related.select("wish_name", "track_name", rank.alias("rank")).where("rank IS NOT NULL"), ["wish_name", "track_name"]).join(first, ["artist_key", "track_name"])
+    answers = ranked.groupBy("artist_key", "wish_name").agg(F.min(F.struct((-F.col("rank")).alias("worse"), "first.outside", "first.track", "rank")).alias("x"))
+    best = wanted.join(answers, ["artist_key", "wish_name"]).groupBy("wish").agg(F.min("x").alias("x"))
     found = wishes.select("wish", "isrc").join(codes, "isrc", "left").join(best.select("wish", F.col("x.track").alias("named"), F.col("x.rank").alias("rank")), "wish", "left")
     outcome = F.when(F.col("coded").isNotNull(), "owned")
     for k, name in OUTCOMES.items():
