@@ -53,14 +53,17 @@ def wish_match(wishes: DataFrame, tracks: DataFrame) -> DataFrame:
 
     Both have isrc, artist, title and version; tracks also track and rework.
     """
-    t = tracks.select("track", "rework", F.col("isrc").alias("t_isrc"), F.col("artist").alias("t_artist"), F.col("title").alias("t_title"), F.col("version").alias("t_version"))
-    by_code = wishes.join(t, F.col("isrc") == F.col("t_isrc")).select("wish", F.lit(0).alias("rank"), F.lit("owned").alias("outcome"), "track")
-    named = wishes.join(t, (F.col("artist") == F.col("t_artist")) & (F.col("title") == F.col("t_title")))
+    codes = tracks.where("isrc IS NOT NULL").groupBy("isrc").agg(F.min("track").alias("track"))
+    by_code = wishes.join(codes, "isrc").select("wish", F.lit(0).alias("rank"), "track", F.lit("owned").alias("outcome"))
+    # wishes and tracks alike in all that is compared are one entry each, tracks stood for by the lowest
+    first = tracks.where("artist IS NOT NULL AND title IS NOT NULL").groupBy("artist", "title", F.col("version").alias("t_version"), "rework").agg(F.min("track").alias("track"))
+    named = wishes.select("artist", "title", "version").distinct().join(first, ["artist", "title"])
     same = F.col("version").eqNullSafe(F.col("t_version"))
     rank = F.when(same, 1).when(~F.col("rework"), 2).otherwise(3)
     outcome = F.when(same, "owned").when(~F.col("rework"), "otherCut").otherwise("rework")
-    found = by_code.unionByName(named.select("wish", rank.alias("rank"), outcome.alias("outcome"), "track"))
-    best = found.groupBy("wish").agg(F.min(F.struct("rank", "track", "outcome")).alias("best"))
+    answers = named.groupBy("artist", "title", F.col("version").alias("version__")).agg(F.min(F.struct(rank.alias("rank"), "track", outcome.alias("outcome"))).alias("x"))
+    by_name = wishes.join(answers, ["artist", "title"]).where(F.col("version").eqNullSafe(F.col("version__"))).select("wish", "x.rank", "x.track", "x.outcome")
+    best = by_code.unionByName(by_name).groupBy("wish").agg(F.min(F.struct("rank", "track", "outcome")).alias("best"))
     return wishes.select("wish").join(best, "wish", "left").select("wish", F.coalesce("best.outcome", F.lit("missing")).alias("outcome"), F.col("best.track").alias("track"))
 
 
