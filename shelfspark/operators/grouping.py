@@ -2,7 +2,8 @@
 
 Files of a track, and each file without one, are a node. Nodes are joined in two steps, by
 the very same audio and then by pairs found to be duplicates, and a set merges only as a
-whole. All checks are sums over groups; no pair of files is made that was not given.
+whole. All checks are sums over groups; no pair of files is made that was not given, and what
+a decision says of two audios is kept for their holders as classes, not pair by pair.
 """
 
 from __future__ import annotations
@@ -35,6 +36,34 @@ def _across(ends: DataFrame, at: DataFrame, why: Column) -> DataFrame:
     return ends.join(x, "x").join(y, "y").where("set_x = set_y AND unit_x <> unit_y").select(F.col("set_x").alias("set"), why.alias("why"))
 
 
+def _tokens(holders: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, token, ...) and (ta, tb) of ``holders(node, key, library)`` and decisions: which nodes they are about.
+
+    A token is an audio, or an audio as library nodes hold it: an audio set apart from itself,
+    or the same as itself, speaks of library tracks.
+    """
+    own = F.array(F.concat(F.lit("k"), "key"), F.concat(F.when(F.col("library"), "l"), "key"))
+    held = holders.withColumn("token", F.explode(F.array_compact(own))).drop("key", "library").distinct()
+    kind = F.when(F.col("key_a") == F.col("key_b"), "l").otherwise("k")
+    named = decisions.where("key_a IS NOT NULL AND key_b IS NOT NULL").select(F.concat(kind, "key_a").alias("ta"), F.concat(kind, "key_b").alias("tb"))
+    named = named.unionByName(named.select(F.col("tb").alias("ta"), F.col("ta").alias("tb"))).distinct()
+    return held.join(named.select(F.col("ta").alias("token")).distinct(), "token", "left_semi"), named
+
+
+def _called(ends: DataFrame, held: DataFrame, named: DataFrame) -> DataFrame:
+    """Those of ``ends(x, y)``, x <> y, that a decision names."""
+    met = ends.join(held.select(F.col("node").alias("x"), F.col("token").alias("ta")), "x").join(named, "ta")
+    return met.join(held.select(F.col("node").alias("y"), F.col("token").alias("tb")), ["y", "tb"]).select("x", "y").distinct()
+
+
+def _named_across(held: DataFrame, named: DataFrame, at: DataFrame, why: Column) -> DataFrame:
+    """(set, why): sets with nodes in two different units that a decision names, by the least and largest unit of each token."""
+    units = held.join(at.select("node", "unit", "set"), "node").groupBy("set", "token").agg(F.min("unit").alias("low"), F.max("unit").alias("high"))
+    a, b = (units.select("set", F.col("token").alias(f"t{c}"), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}")) for c in "ab")
+    both = a.join(named, "ta").join(b, ["set", "tb"]).where("least(low_a, low_b) <> greatest(high_a, high_b)")
+    return both.select("set", why.alias("why")).distinct()
+
+
 def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, set): each node of ``nodes(node)`` and the least one it reaches."""
     found = connected_components(edges, "x", "y").withColumnRenamed("component", "set")
@@ -64,14 +93,11 @@ def plan(members: DataFrame, pairs: DataFrame, apart: DataFrame, same: DataFrame
         own.groupBy("node").agg(F.max("library").alias("library"), F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"), F.count("key").alias("keyed")),
         "group-nodes",
     )
-    holders = own.where("key IS NOT NULL").select("key", "node").distinct()
-    called = lambda t: t.join(holders.select(F.col("key").alias("key_a"), F.col("node").alias("x")), "key_a").join(holders.select(F.col("key").alias("key_b"), F.col("node").alias("y")), "key_b").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    # an audio set apart from itself, or the same as itself, speaks of library tracks
-    mine = nodes.where("library").select("node")
-    only = lambda t: called(t.where("key_a <> key_b")).unionByName(called(t.where("key_a = key_b")).join(mine.select(F.col("node").alias("x")), "x", "left_semi").join(mine.select(F.col("node").alias("y")), "y", "left_semi").select("x", "y")).distinct()
-    apart_nodes, same_nodes = stored(only(apart), "group-apart"), stored(only(same), "group-same")
-    linked = links.select(F.least("track_a", "track_b").cast("long").alias("x"), F.greatest("track_a", "track_b").cast("long").alias("y")).distinct().join(same_nodes, ["x", "y"], "left_anti")
-    separations = lambda at: _across(linked, at, F.lit("1linked")).unionByName(_across(apart_nodes, at, F.lit("2apart")))
+    holders = own.where("key IS NOT NULL").select("key", "node").distinct().join(nodes.select("node", "library"), "node")
+    (apart_held, apart_named), (same_held, same_named) = (tuple(stored(x, "group-decided") for x in _tokens(holders, d)) for d in (apart, same))
+    linked = links.select(F.least("track_a", "track_b").cast("long").alias("x"), F.greatest("track_a", "track_b").cast("long").alias("y")).distinct()
+    linked = stored(linked.join(_called(linked, same_held, same_named), ["x", "y"], "left_anti"), "group-linked")
+    separations = lambda at: _across(linked, at, F.lit("1linked")).unionByName(_named_across(apart_held, apart_named, at, F.lit("2apart")))
 
     # 1. nodes that hold one audio, the same one
     one = nodes.where("keyed = n AND low = high").select("node", F.col("low").alias("key"))
@@ -86,11 +112,18 @@ def plan(members: DataFrame, pairs: DataFrame, apart: DataFrame, same: DataFrame
     of_file = stored(of_file, "group-files")
     a, b = (of_file.select(F.col("file").alias(c), F.col("unit").alias(f"unit_{c}"), F.col("key").alias(f"key_{c}")) for c in "ab")
     given = stored(pairs.select("a", "b", "outcome").join(a, "a").join(b, "b").where("unit_a <> unit_b"), "group-pairs")
-    to_unit = lambda t: t.join(units.select(F.col("node").alias("x"), F.col("unit").alias("ux")), "x").join(units.select(F.col("node").alias("y"), F.col("unit").alias("uy")), "y").where("ux <> uy").select(F.least("ux", "uy").alias("x"), F.greatest("ux", "uy").alias("y")).distinct()
-    same_units = stored(to_unit(same_nodes), "group-same-units")
+    # units of which the decisions say the same are a class; what they join is pairs of classes
+    tokens = same_held.join(units.select("node", "unit"), "node").select("unit", "token").distinct()
+    kinds = stored(tokens.groupBy("unit").agg(F.array_sort(F.collect_set("token")).alias("class")), "group-classes")
+    spoken = stored(kinds.select("class", F.col("class").alias("tokens")).distinct().select("class", F.explode("tokens").alias("token")), "group-tokens")
+    alike_classes = spoken.select(F.col("class").alias("class_x"), F.col("token").alias("ta")).join(same_named, "ta").join(spoken.select(F.col("class").alias("class_y"), F.col("token").alias("tb")), "tb")
+    alike_classes = stored(alike_classes.select("class_x", "class_y").distinct(), "group-alike")
+    # a star from the least unit of one side to all of the other joins what all pairs would
+    ends = tokens.groupBy("token").agg(F.min("unit").alias("x"))
+    by_same = tokens.select(F.col("unit").alias("y"), F.col("token").alias("ta")).join(same_named, "ta").join(ends.withColumnRenamed("token", "tb"), "tb").where("x <> y").select("x", "y")
     keyed = of_file.where("key IS NOT NULL").select("key", "unit").distinct()
     by_audio = keyed.groupBy("key").agg(F.min("unit").alias("x")).join(keyed, "key").select("x", F.col("unit").alias("y")).where("x <> y")
-    edges = given.where("outcome = 'duplicate'").select(F.col("unit_a").alias("x"), F.col("unit_b").alias("y")).unionByName(by_audio).unionByName(same_units)
+    edges = given.where("outcome = 'duplicate'").select(F.col("unit_a").alias("x"), F.col("unit_b").alias("y")).unionByName(by_audio).unionByName(by_same)
     spread = stored(_components(units.select(F.col("unit").alias("node")).distinct(), edges).withColumnRenamed("node", "unit"), "group-sets")
     whole = stored(of_file.join(spread, "unit"), "group-whole")
 
@@ -100,15 +133,17 @@ def plan(members: DataFrame, pairs: DataFrame, apart: DataFrame, same: DataFrame
     # pairs of files in two units with one audio: all pairs with it, less those within units
     shared = audio.where("key IS NOT NULL").groupBy("set", "key").agg(F.expr("sum(n) * (sum(n) - 1) div 2 - sum(n * (n - 1) div 2)").alias("p"), F.sum("n").alias("n"))
     by_key = shared.groupBy("set").agg(F.sum("p").alias("same_audio"), F.count("*").alias("audios"), F.sum("n").alias("with_audio"))
-    counts = n_of.select("unit", "n")
-    alike = audio.where("key IS NOT NULL").select("key", "unit", "n")
-    met = same_units.join(alike.select("key", F.col("unit").alias("x"), F.col("n").alias("nx")), "x").join(alike.select("key", F.col("unit").alias("y"), F.col("n").alias("ny")), ["key", "y"])
-    met = met.groupBy("x", "y").agg(F.sum(F.col("nx") * F.col("ny")).alias("both"))
-    by_word = same_units.join(counts.select(F.col("unit").alias("x"), F.col("n").alias("nx")), "x").join(counts.select(F.col("unit").alias("y"), F.col("n").alias("ny")), "y").join(met, ["x", "y"], "left")
-    by_word = by_word.join(spread.withColumnRenamed("unit", "x"), "x").groupBy("set").agg(F.sum(F.col("nx") * F.col("ny") - F.coalesce("both", F.lit(0))).alias("called"))
+    # files of two units called the same, less those of one audio: sums over classes of units
+    of_class = lambda rows, by: rows.join(kinds, "unit").groupBy("set", "class", *by).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    by_class, by_class_key = of_class(n_of, []), of_class(audio.where("key IS NOT NULL"), ["key"])
+    two = lambda rows, by: rows.withColumnRenamed("class", "class_x").join(alike_classes, "class_x").where("class_x <= class_y").join(rows.select("set", *by, F.col("class").alias("class_y"), F.col("n").alias("ny")), ["set", *by, "class_y"])
+    crossed = F.when(F.col("class_x") == F.col("class_y"), F.expr("(n * n - squares) div 2")).otherwise(F.col("n") * F.col("ny"))
+    by_word = two(by_class, []).select("set", crossed.alias("p")).unionByName(two(by_class_key, ["key"]).select("set", (-crossed).alias("p"))).groupBy("set").agg(F.sum("p").alias("called"))
     # given pairs that neither an audio nor a decision settles
-    left = given.where("NOT coalesce(key_a = key_b, false)").withColumn("x", F.least("unit_a", "unit_b")).withColumn("y", F.greatest("unit_a", "unit_b"))
-    left = left.join(same_units, ["x", "y"], "left_anti").join(spread.withColumnRenamed("unit", "x"), "x").join(spread.select(F.col("unit").alias("y"), F.col("set").alias("set_y")), "y").where("set = set_y")
+    left = given.where("NOT coalesce(key_a = key_b, false)").select("outcome", F.col("unit_a").alias("x"), F.col("unit_b").alias("y"))
+    for c in "xy":
+        left = left.join(kinds.select(F.col("unit").alias(c), F.col("class").alias(f"class_{c}")), c, "left")
+    left = left.join(alike_classes, ["class_x", "class_y"], "left_anti").join(spread.withColumnRenamed("unit", "x"), "x").join(spread.select(F.col("unit").alias("y"), F.col("set").alias("set_y")), "y").where("set = set_y")
     said = left.groupBy("set").agg(F.count(F.when(F.col("outcome") == "duplicate", 1)).alias("dup"), F.count(F.when(~F.col("outcome").isin("duplicate", "undecided"), 1)).alias("bad"))
 
     sums = reduce(lambda x, y: x.join(y, "set", "left"), [sizes, by_key, by_word, said])
