@@ -4,6 +4,8 @@ Pairs come from equal numbers at any two places, by a join; each such meeting vo
 offset between the two sequences. The main alignment of a pair is the offset with the most
 items that match (differ in few bits); what it leaves on both sides is aligned again, up to a
 bound. Rows are items, votes and stretches: no pair of sequences is held by one task as a matrix.
+Items are stored so densely that a few megabytes of file are many rows in memory, so their joins
+are merge joins, and none of them is broadcast by the size of its files.
 """
 
 from __future__ import annotations
@@ -33,12 +35,12 @@ def bits_apart(a: Column, b: Column) -> Column:
 def _free(seq: DataFrame, taken: DataFrame, side: str) -> DataFrame:
     """Items of a pair's side that no stretch holds: (a, b, pos, item)."""
     spans = taken.select("a", "b", F.explode(F.sequence(F.col(f"start_{side}"), F.col(f"start_{side}") + F.col("items") - 1)).alias("pos"))
-    return seq.join(spans, ["a", "b", "pos"], "left_anti")
+    return seq.join(spans.hint("merge"), ["a", "b", "pos"], "left_anti")
 
 
 def _votes(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
     """(a, b, shift): the offsets (place in a less place in b) with the most equal items, the least of equals first."""
-    met = left.select("a", "b", "item", F.col("pos").alias("pa")).join(right.select("a", "b", "item", F.col("pos").alias("pb")), ["a", "b", "item"])
+    met = left.select("a", "b", "item", F.col("pos").alias("pa")).join(right.select("a", "b", "item", F.col("pos").alias("pb")).hint("merge"), ["a", "b", "item"])
     counted = met.groupBy("a", "b", (F.col("pa") - F.col("pb")).alias("shift")).agg(F.count("*").alias("votes"))
     place = F.row_number().over(Window.partitionBy("a", "b").orderBy(F.desc("votes"), "shift"))
     return counted.withColumn("place", place).where(F.col("place") <= most).select("a", "b", "shift")
@@ -46,8 +48,8 @@ def _votes(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
 
 def _stretches(left: DataFrame, right: DataFrame, shifts: DataFrame, least: int) -> DataFrame:
     """(a, b, shift, start_a, start_b, items, bits): runs of matching items along each shift, ``least`` items or more."""
-    a = left.join(shifts, ["a", "b"]).select("a", "b", "shift", F.col("pos").alias("pa"), F.col("item").alias("ia"), (F.col("pos") - F.col("shift")).alias("pb"))
-    met = a.join(right.select("a", "b", F.col("pos").alias("pb"), F.col("item").alias("ib")), ["a", "b", "pb"])
+    a = left.join(shifts.hint("merge"), ["a", "b"]).select("a", "b", "shift", F.col("pos").alias("pa"), F.col("item").alias("ia"), (F.col("pos") - F.col("shift")).alias("pb"))
+    met = a.join(right.select("a", "b", F.col("pos").alias("pb"), F.col("item").alias("ib")).hint("merge"), ["a", "b", "pb"])
     met = met.withColumn("bits", bits_apart(F.col("ia"), F.col("ib"))).where(F.col("bits") < MATCH_BITS)
     along = Window.partitionBy("a", "b", "shift").orderBy("pa")
     runs = met.withColumn("run", F.col("pa") - F.row_number().over(along))
@@ -74,7 +76,7 @@ def align(pairs: DataFrame, seq: DataFrame, least: int = LEAST_ITEMS, most: int
         runs = stored(_stretches(left, right, shifts, least if n else first_least), "align-runs")
         total = runs.groupBy("a", "b", "shift").agg(F.sum("items").alias("n"), F.sum("bits").alias("d"))
         best = total.groupBy("a", "b").agg(F.min(F.struct(-F.col("n"), F.col("d"), F.col("shift"))).alias("x")).select("a", "b", F.col("x.shift").alias("shift"))
-        now = runs.join(best, ["a", "b", "shift"]).select("a", "b", F.lit(n).alias("alignment"), "start_a", "start_b", "items", "bits")
+        now = runs.join(best.hint("merge"), ["a", "b", "shift"]).select("a", "b", F.lit(n).alias("alignment"), "start_a", "start_b", "items", "bits")
         now = stored(now, "align-found")
         if now.isEmpty():
             break
