@@ -2,8 +2,8 @@
 
 Changes of base rows are appended as marks (key, at). A stateful operator holds the marks of
 each key until the key has been quiet, so a burst of changes settles once; due keys are
-settled in pages of a bounded size, and every page is applied exactly once: the keyed table
-remembers the last batch of each source.
+settled in pages of a bounded size, and every batch of pages is applied exactly once: the
+keyed table remembers the last batch of each source.
 """
 
 from __future__ import annotations
@@ -64,34 +64,31 @@ def due(marks: DataFrame, quiet: float = QUIET_S, longest: float = LONGEST_S, la
     return rows.groupBy("key").applyInPandasWithState(step, out_schema, "first double, last double, marks long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def pages(keys: DataFrame, size: int = PAGE) -> Iterator[tuple[int, DataFrame]]:
-    """(number, keys) of at most about ``size`` keys each, by hash; one key stays in one page."""
-    count = keys.count()
-    n = max(1, -(-count // size))
-    for k in range(n if count else 0):
-        yield k, keys.where(F.pmod(F.xxhash64("key"), F.lit(n)) == k)
+def paged(keys: DataFrame, size: int = PAGE) -> DataFrame:
+    """``keys(key)`` dealt by hash, so that a task holds a page of about ``size`` keys; one key stays in one page."""
+    return keys.repartition(max(1, -(-keys.count() // size)), "key")
 
 
 def settle(stream: DataFrame, derive: Callable[[DataFrame], DataFrame], table: KeyedTable, checkpoint: str, source: str, size: int = PAGE) -> StreamingQuery:
     """Bring the keyed table up to date with the keys of a stream, a micro-batch at a time.
 
     ``derive(keys)`` works out the rows of ``keys(key)`` from the base tables as they are now;
-    keys it gives no row for are gone. A batch's pages are one write, kept with the batch's
-    number, so a batch that is sent again after a failure changes nothing.
+    keys it gives no row for are gone. It is called once for all keys of a batch, which lie in
+    pages of ``size`` keys, a task each: the base tables are read once however many keys are
+    due. They are one write, kept with the batch's number, so a batch that is sent again
+    after a failure changes nothing.
     """
     key = table.key[0]
 
     def write(batch: DataFrame, number: int) -> None:
         keys = batch.select(F.col("key")).distinct().persist()
         try:
-            made = None
-            for _, page in pages(keys, size):
-                rows = derive(page).withColumn("gone__", F.lit(False))
-                lost = page.select(F.col("key").alias(key)).join(rows.select(key), key, "left_anti").withColumn("gone__", F.lit(True))
-                both = rows.unionByName(lost, allowMissingColumns=True)
-                made = both if made is None else made.unionByName(both)
-            if made is not None:
-                table.upsert(made, gone=F.col("gone__"), source=source, batch=number)
+            if keys.isEmpty():
+                return
+            page = paged(keys, size)
+            rows = derive(page).withColumn("gone__", F.lit(False))
+            made = page.select(F.col("key").alias(key)).join(rows, key, "left").withColumn("gone__", F.col("gone__").isNull())
+            table.upsert(made, gone=F.col("gone__"), source=source, batch=number)
         finally:
             keys.unpersist()
 
@@ -108,9 +105,8 @@ def tick_off(arrivals: DataFrame, wishes: KeyedTable, on: list[str], checkpoint:
 
     def write(batch: DataFrame, number: int) -> None:
         still = wishes.read().where("acquired IS NULL")
-        met = still.drop("acquired").join(batch.select(*on, "file"), on)
-        rest = [c for c in wishes.names if c not in (*wishes.key, "acquired")]
-        found = met.groupBy(*wishes.key).agg(*(F.first(c).alias(c) for c in rest), F.min("file").alias("acquired"))
+        lowest = batch.groupBy(*on).agg(F.min("file").alias("acquired"))  # so a wish meets one row however many files match it
+        found = still.drop("acquired").join(lowest, on)
         wishes.upsert(found.select(*wishes.names), source=source, batch=number)
         if sum(p["kind"] == "delta" for p in wishes.manifest()[1]) >= compact_after:
             wishes.compact()

@@ -75,6 +75,39 @@ def test_settling_survives_a_restart(spark):
     assert {r.id: r.v for r in table.read().collect()} == want
 
 
+def test_a_batch_is_derived_once(spark):
+    path, calls = new_path(spark, "settle-once"), []
+    table = KeyedTable(spark, new_path(spark, "settled-once"), ["id"], "id long, v long")
+
+    def derive(keys):
+        calls.append(keys.rdd.getNumPartitions())
+        return keys.where("key <> 7").select(F.col("key").alias("id"), (F.col("key") * 2).alias("v"))
+
+    spark.range(30).withColumnRenamed("id", "key").coalesce(1).write.parquet(path)
+    feed.settle(stream(spark, path, "key long"), derive, table, new_path(spark, "settle-once-checkpoint"), "feed", size=4).awaitTermination()
+    assert calls == [8]  # not once for each page of 4 keys
+    assert {r.id: r.v for r in table.read().collect()} == {k: 2 * k for k in range(30) if k != 7}
+
+
+def test_a_wish_meets_one_row_of_many_files(spark, monkeypatch):
+    table = KeyedTable(spark, new_path(spark, "wishes-one"), ["wish"], "wish long, artist string, acquired long")
+    table.replace(spark.createDataFrame([(i, "a", None) for i in range(20)], "wish long, artist string, acquired long"))
+    seen, upsert = [], KeyedTable.upsert
+    # ``order`` is not given, so rows are counted as they are met, before the table takes one of a key
+    monkeypatch.setattr(KeyedTable, "upsert", lambda self, rows, **k: (seen.append(joined_rows(rows)), upsert(self, rows, **k))[1])
+    path = new_path(spark, "arrivals-one")
+    spark.createDataFrame([(k, "a") for k in range(50)], "file long, artist string").coalesce(1).write.parquet(path)
+    feed.tick_off(stream(spark, path, "file long, artist string"), table, ["artist"], new_path(spark, "arrivals-one-checkpoint"), "files").awaitTermination()
+    assert [r.acquired for r in table.read().collect()] == [0] * 20
+    assert seen == [False]
+
+
+def joined_rows(rows):
+    """Whether the plan groups what a join has made."""
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    return "Aggregate" in plan and plan.index("Aggregate") < plan.index("Join")
+
+
 def test_wishes_are_ticked_off_while_files_arrive(spark):
     rng = random.Random(3)
     wishes = [(i, f"a{i % 7}", f"t{i % 5}", None) for i in range(30)]
