@@ -351,6 +351,17 @@ def _credits(text: Column, featured: bool, joined_acts: bool = False) -> Column:
 FIELDS = ("artist", "credits", "title", "core", "labels", "maybe", "parts", "asides", "unknown")
 
 
+def each_once(rows: DataFrame, names_of: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with the columns that ``work`` adds to their different ``names_of``; a null name gets nulls.
+
+    Reading a name takes much longer than shuffling it, so each is read once, and the
+    different ones are dealt to a task a core, however few bytes they are.
+    """
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    different = rows.select(*names_of).distinct().repartition(tasks, *names_of)
+    return rows.join(work(different), names_of, "left")
+
+
 def parse_releases(rows: DataFrame, name: Column, out: str, is_file: bool = True) -> DataFrame:
     """``rows`` with ``out``, a struct(artist, credits, title, core, labels, maybe, parts, asides, unknown) of a release's name.
 

@@ -197,7 +197,8 @@ NAME_FORMS = [
 @query(f"SELECT p_partkey, {', '.join(f'{_case(NAME_FORMS, k + 1)} AS {c}' for k, c in enumerate(('artist', 'title', 'labels', 'maybe', 'asides', 'unknown')))} FROM part")
 def parsed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names with folders, numbers, nested and open brackets, segments and sites, read whole."""
-    rows = releases.parse_releases(table(spark, sf_dir, "part"), F.expr(_case(NAME_FORMS, 0)), "n")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_case(NAME_FORMS, 0)).alias("name"))
+    rows = releases.each_once(rows, ["name"], lambda names: releases.parse_releases(names, F.col("name"), "n"))
     asides = F.array_join(F.transform("n.asides", lambda a: F.concat_ws(":", a["kind"], a["value"])), ",")
     cells = [_listed(F.col("n.labels")).alias("labels"), _listed(F.col("n.maybe")).alias("maybe"), asides.alias("asides"), F.array_join("n.unknown", ",").alias("unknown")]
     return rows.select("p_partkey", "n.artist", "n.title", *cells)
@@ -224,7 +225,10 @@ RELATION_FORMS = [
 
 @query(f"SELECT p_partkey, {_case(RELATION_FORMS, 2)} AS relation FROM part")
 def name_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part")
-    for k, c in enumerate("ab"):
-        rows = releases.parse_releases(rows, F.expr(_case(RELATION_FORMS, k)), c)
-    return releases.relate(rows, "a", "b").select("p_partkey", "relation")
+    rows = table(spark, sf_dir, "part").select("p_partkey", *(F.expr(_case(RELATION_FORMS, k)).alias(c) for k, c in enumerate(("one", "other"))))
+
+    def related(pairs: DataFrame) -> DataFrame:
+        parsed = releases.parse_releases(releases.parse_releases(pairs, F.col("one"), "a"), F.col("other"), "b")
+        return releases.relate(parsed, "a", "b").select("one", "other", "relation")
+
+    return releases.each_once(rows, ["one", "other"], related).select("p_partkey", "relation")

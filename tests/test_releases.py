@@ -104,3 +104,15 @@ def test_relations(spark, swap):
     df = releases.parse_releases(releases.parse_releases(df, F.col("x"), "a"), F.col("y"), "b")
     for r in releases.relate(df, "a", "b").collect():
         assert r.relation == PAIRS[r.i][2], (r.x, r.y)
+
+
+def test_each_name_is_read_once(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "b"), (5, "a")], "i int, n string")
+    seen = []
+
+    def work(names):
+        seen.append((sorted(r.n or "" for r in names.collect()), names.rdd.getNumPartitions()))
+        return names.withColumn("x", F.upper("n"))
+
+    assert {r.i: r.x for r in releases.each_once(rows, ["n"], work).collect()} == {1: "A", 2: "A", 3: None, 4: "B", 5: "A"}
+    assert seen == [(["", "a", "b"], spark.sparkContext.defaultParallelism)]
