@@ -26,30 +26,30 @@ def timeline(entries: DataFrame, target: list[tuple[float, float]], by: str = "p
     ``entries`` has the list's id, position, recording_id, time_ms, bpm, key_order and energy.
     """
     order = Window.partitionBy(by).orderBy("position", "recording_id")
-    whole = Window.partitionBy(by)
-    n = F.count("*").over(whole)
-    i = F.row_number().over(order) - 1
-    rows = entries.withColumns({"i": i, "n": n})
-    rows = rows.withColumn("start_ms", F.coalesce(F.sum("time_ms").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.sum("time_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = {f"next_{c}": F.lead(c).over(order) for c in ("bpm", "key_order", "energy")}
+    rows = entries.withColumns({"i": F.row_number().over(order) - 1, "n": F.count("*").over(whole), "start_ms": F.coalesce(before, F.lit(0)), **after})
+    # what is used several times is a column of its own, so that it is worked out once
     at = F.when(F.col("n") > 1, F.col("i") / (F.col("n") - 1)).otherwise(0.0)
-    rows = rows.withColumn("target", F.round(target_at(target, at), 6))
-    after = {c: F.lead(c).over(order) for c in ("bpm", "key_order", "energy")}
-    rows = rows.withColumns({f"next_{c}": x for c, x in after.items()})
+    a, b = F.col("key_order"), F.col("next_key_order")
+    rows = rows.withColumns({"at": at, "steps": music.steps_apart(a, b), "same": (a % 2) == (b % 2), "gap": music.tempo_gap(F.col("bpm"), F.col("next_bpm")), "step": F.col("next_energy") - F.col("energy")})
+    any_way = F.greatest(*(music.energy_fitness(F.col("step"), k) for k in (-1, 0, 1)))
+    rows = rows.withColumns({"relation": music.relation_of(F.col("steps"), F.col("same")), "bpm_fits": music.tempo_fitness(F.col("gap")), "energy_fits": F.when(F.col("step").isNotNull(), any_way)})
+    rows = rows.withColumn("key_fits", music.relation_fitness(F.col("relation")))
 
     def flow(fitness: Column) -> Column:
         return F.when(F.col("i") + 1 == F.col("n"), F.lit(None).cast("string")).when(fitness.isNull(), "unknown").when(fitness > 0, "fine").otherwise("clash")
 
-    step = F.col("next_energy") - F.col("energy")
-    any_way = F.greatest(*(music.energy_fitness(step, k) for k in (-1, 0, 1)))
     return rows.select(
         by,
         "position",
         "recording_id",
         "start_ms",
-        "target",
-        flow(music.key_fitness(F.col("key_order"), F.col("next_key_order"))).alias("key_flow"),
-        flow(music.tempo_fitness(music.tempo_gap(F.col("bpm"), F.col("next_bpm")))).alias("bpm_flow"),
-        flow(F.when(step.isNotNull(), any_way)).alias("energy_flow"),
+        F.round(target_at(target, F.col("at")), 6).alias("target"),
+        flow(F.col("key_fits")).alias("key_flow"),
+        flow(F.col("bpm_fits")).alias("bpm_flow"),
+        flow(F.col("energy_fits")).alias("energy_flow"),
     )
 
 
