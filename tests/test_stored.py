@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.operators import changelog, search_index
 from shelfspark.operators.numbering import numbered
+from shelfspark.plans import track_queries
 from shelfspark.sources.keyed_table import KeyedTable
 from shelfspark.storage import new_path, scratch, stored
 
@@ -131,3 +132,10 @@ def test_scratch_is_cleared(spark, tmp_path):
             total = rows.count()
         assert total == 5 and not here(outer[0]) and here(kept_path)
     assert spark.read.parquet(kept_path).count() == 5
+
+
+def test_stored_rows_are_derived_once(spark, sf, monkeypatch):
+    plans = []
+    monkeypatch.setattr(track_queries.track_table.KeyedTable, "sync", lambda self, derived: plans.append(derived._jdf.queryExecution().optimizedPlan().toString()))
+    track_queries._stored(spark, sf)
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
