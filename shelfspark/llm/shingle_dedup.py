@@ -1,9 +1,14 @@
 """Near-duplicate documents by exact similarity of their five-word shingles.
 
 Two documents are linked if the Jaccard similarity of their sets of shingles is
-4/5 or more. Such sets of sizes n <= m, put in any one order, share a shingle among
-the first n // 9 + 1 of the smaller ("index") and the first m // 5 + 1 of the larger,
-so candidates are found by joining these prefixes, and none is lost.
+4/5 or more. Candidates come first from SimHash: fingerprints of the sets within two
+bits, verified by the whole sets. What SimHash leaves in different components may
+still be similar, so the exact join below completes it; it verifies no pair that
+SimHash has put together.
+
+Such sets of sizes n <= m, put in any one order, share a shingle among the first
+n // 9 + 1 of the smaller ("index") and the first m // 5 + 1 of the larger, so
+candidates are found by joining these prefixes, and none is lost.
 
 Prefixes are first taken in the order of the shingles' hashes. Documents that share
 a bucket of more than ``dense`` of them are joined again among themselves, with the
@@ -27,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfspark.llm.simhash import fingerprint, hamming_links
 from shelfspark.operators.graph import connected_components
 from shelfspark.storage import bounded_batches, stored
 
@@ -58,16 +64,20 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _sets(docs: DataFrame, usual: np.ndarray | None) -> DataFrame:
-    """(id, digest of the words, n, keys) of ``docs(id, text)``: the longer prefix with ``usual`` keys last; all n shingles if null."""
+    """(id, digest of the words, fp, n, keys) of ``docs(id, text)``: the longer prefix with ``usual`` keys last; all n shingles if null.
+
+    ``fp`` is the SimHash fingerprint of all n shingles as a signed long, where ``usual`` is empty; else null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, digests, sizes, keys, held = [], [], [], [], 0
+            ids, digests, fps, sizes, keys, held = [], [], [], [], [], 0
             for k, x in enumerate(b.column(1)):
                 words = _words(x.as_py())
                 own = shingles(words)
                 ids.append(k)
                 digests.append(xxhash.xxh128_digest(b" ".join(words)))
+                fps.append(np.uint64(fingerprint(own.view(np.uint64))).astype(np.int64) if usual is not None and not len(usual) else None)
                 sizes.append(len(own))
                 if usual is not None:
                     last = np.isin(own, usual) if len(usual) else np.zeros(len(own), bool)
@@ -75,11 +85,11 @@ def _sets(docs: DataFrame, usual: np.ndarray | None) -> DataFrame:
                 keys.append(own)
                 held += len(keys[-1])
                 if held > HELD or k == b.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), _lists(keys)], names=["id", "digest", "n", "keys"])
-                    ids, digests, sizes, keys, held = [], [], [], [], 0
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids)), pa.array(digests, pa.binary()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), _lists(keys)], names=["id", "digest", "fp", "n", "keys"])
+                    ids, digests, fps, sizes, keys, held = [], [], [], [], [], 0
 
     bounded_batches(docs.sparkSession)
-    kinds = {"id": docs.schema["id"].dataType, "digest": T.BinaryType(), "n": T.IntegerType(), "keys": T.ArrayType(T.LongType())}
+    kinds = {"id": docs.schema["id"].dataType, "digest": T.BinaryType(), "fp": T.LongType(), "n": T.IntegerType(), "keys": T.ArrayType(T.LongType())}
     return docs.mapInArrow(run, T.StructType([T.StructField(k, v) for k, v in kinds.items()]))
 
 
@@ -121,8 +131,20 @@ def _verified(docs: DataFrame, prefixes: DataFrame, pairs: DataFrame) -> DataFra
     return stored(found.select("src", "dst"), "near-links")
 
 
-def _links(docs: DataFrame, prefixes: DataFrame, dense: int) -> DataFrame:
+def _close(docs: DataFrame, prefixes: DataFrame, fps: DataFrame) -> DataFrame:
+    """(src, dst) among the nodes of ``fps(node, fp)``: similar ones whose fingerprints SimHash links.
+
+    Nodes of one fingerprint are linked to their least, and those of different ones by it.
+    """
+    least = stored(fps.groupBy("fp").agg(F.min("node").alias("dst")), "near-fingerprints")
+    same = fps.join(least, "fp").where("node != dst").select(F.col("node").alias("src"), "dst")
+    return _verified(docs, prefixes, hamming_links(least.select(F.col("dst").alias("node"), "fp")).unionByName(same).distinct())
+
+
+def _links(docs: DataFrame, prefixes: DataFrame, dense: int, fps: DataFrame) -> DataFrame:
     """(src, dst) among the nodes of ``prefixes``: links whose components are those of all similar pairs."""
+    close = _close(docs, prefixes, fps)
+    parts = connected_components(close)
     rows, usual, pairs = _sized(prefixes), np.zeros(0, np.int64), []
     for k in range(ROUNDS):
         many = rows.where(F.col("size") > dense)
@@ -136,7 +158,7 @@ def _links(docs: DataFrame, prefixes: DataFrame, dense: int) -> DataFrame:
         rows = _sized(stored(_sets(docs.join(crowd, "id", "left_semi"), usual).select(F.col("id").alias("node"), "n", "keys"), "near-crowd-sets"))
     star = many.join(many.groupBy("key").agg(F.min("node").alias("dst")), "key").where("node != dst")
     pairs.append(star.select(F.col("node").alias("src"), "dst"))
-    links = _verified(docs, prefixes, reduce(DataFrame.unionByName, pairs).distinct())
+    links = close.unionByName(_verified(docs, prefixes, _apart(reduce(DataFrame.unionByName, pairs).distinct(), parts)))
     if not len(keys):
         return links
     many = many.join(connected_components(links), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
@@ -145,6 +167,13 @@ def _links(docs: DataFrame, prefixes: DataFrame, dense: int) -> DataFrame:
     return links if rest.isEmpty() else links.unionByName(_verified(docs, prefixes, rest))
 
 
+def _apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (src, dst) whose ends are not in one of ``parts(node, component)``."""
+    a, b = parts.toDF("src", "part"), parts.toDF("dst", "part2")
+    rows = pairs.join(a, "src", "left").join(b, "dst", "left")
+    return rows.where(F.coalesce(F.col("part") != F.col("part2"), F.lit(True))).select("src", "dst")
+
+
 def near_duplicates(docs: DataFrame, dense: int = 16) -> DataFrame:
     """(id, component) of each id of ``docs(id, text)``: the least id that it reaches by links.
 
@@ -156,7 +185,8 @@ def near_duplicates(docs: DataFrame, dense: int = 16) -> DataFrame:
     nodes = stored(sets.groupBy("digest").agg(F.min("id").alias("node")), "near-nodes")
     one = sets.join(nodes, "digest").where("id = node").dropDuplicates(["digest"])
     prefixes = stored(one.select("node", "n", "keys"), "near-prefixes")
-    parts = connected_components(_links(docs, prefixes, dense))
+    fps = sets.join(nodes, "digest").where("id = node").dropDuplicates(["digest"]).select("node", "fp")
+    parts = connected_components(_links(docs, prefixes, dense, stored(fps, "near-nodes-fps")))
     classes = nodes.join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return sets.select("id", "digest").join(classes, "digest").select("id", "component")
 

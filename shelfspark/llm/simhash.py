@@ -45,11 +45,21 @@ def simhash(text: str | None, shingle: int = 3) -> int:
     for at in range(0, n, CHUNK):
         part = words[at : at + CHUNK + shingle - 1]
         grams = map(b" ".join, zip(*(part[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(part)]
-        hashes = np.array([digest(g, SEED) for g in grams], np.uint64).byteswap()
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        ones += _ones(np.array([digest(g, SEED) for g in grams], np.uint64))
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the unsigned 64-bit hashes have each bit, the highest first."""
+    return np.unpackbits(hashes.byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """Unsigned fingerprint of the shingles that hash to ``hashes`` (unsigned 64 bits); zero of none."""
+    ones = sum((_ones(hashes[at : at + CHUNK]) for at in range(0, len(hashes), CHUNK)), np.zeros(BITS, np.int64))
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp): one row per document, ``fp`` the fingerprint as a signed long.
 

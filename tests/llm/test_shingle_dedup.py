@@ -69,3 +69,13 @@ def test_stage_links_at_four_fifths(spark):
     assert kept.columns == docs.columns
     assert sorted(x.doc_id or 0 for x in kept.collect()) == [0, 1, 5]
     assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_simhash_links_what_is_close(spark, monkeypatch):
+    words = " ".join(f"w{k}" for k in range(2000))
+    docs = spark.createDataFrame([(1, words), (2, words + " new"), (3, "other words of its own")], "id long, text string")
+    fps = [simhash.fingerprint(shingle_dedup.shingles(shingle_dedup._words(r.text)).view("uint64")) for r in docs.collect()]
+    assert 0 < (fps[0] ^ fps[1]).bit_count() <= simhash.TAU < (fps[0] ^ fps[2]).bit_count()
+    none = spark.createDataFrame([], "src long, dst long")
+    monkeypatch.setattr(shingle_dedup, "_pairs", lambda *_: none)  # so only SimHash finds candidates
+    assert {r.id: r.component for r in shingle_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
