@@ -50,11 +50,27 @@ def handling(decision: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for p in HANDLING.items() for x in p]), decision)
 
 
+NAMES = ("app", "external", "base", "replaced")
+#: Tasks that put together what one task reads.
+SHARES = 8
+
+
 def sides(app: DataFrame, external: DataFrame, base: DataFrame, replaced: DataFrame, keys: tuple[str, str] = ("track", "field")) -> DataFrame:
-    """(track, field, app, external, base, replaced): what each of four tables (track, field, value) says, null where it says nothing; a field of a track has one row in each."""
-    named = {"app": app, "external": external, "base": base, "replaced": replaced}
-    rows = functools.reduce(DataFrame.union, [side.select(*keys, F.lit(name).alias("side__"), "value") for name, side in named.items()])
-    return rows.groupBy(*keys).agg(*(F.max(F.when(F.col("side__") == name, F.col("value"))).alias(name) for name in named))
+    """(track, field, app, external, base, replaced): what each of four tables (track, field, value) says, null where it says nothing; of several rows of a field the least value."""
+    rows = functools.reduce(DataFrame.union, [side.select(*keys, F.lit(name).alias("side"), "value") for name, side in zip(NAMES, (app, external, base, replaced))])
+    return sides_of(rows, keys)
+
+
+def sides_of(rows: DataFrame, keys: tuple[str, str] = ("track", "field")) -> DataFrame:
+    """``sides`` of one table (track, field, side, value).
+
+    Rows are dealt by track once, as they are; the fields are put together there, in one sort
+    that the joins by track behind it use as well. What one task sorts is a fixed share of one
+    part of the input, whose parts Spark bounds, so it does not grow with the table.
+    """
+    rows = rows.select(*keys, F.col("side").alias("side__"), "value")
+    dealt = rows.repartition(SHARES * rows.rdd.getNumPartitions(), keys[0])
+    return dealt.groupBy(*keys).agg(*(F.min(F.when(F.col("side__") == name, F.col("value"))).alias(name) for name in NAMES))
 
 
 def detect(all_sides: DataFrame, entries: DataFrame | None = None, derived: DataFrame | None = None, keys: tuple[str, str] = ("track", "field")) -> DataFrame:
@@ -66,7 +82,7 @@ def detect(all_sides: DataFrame, entries: DataFrame | None = None, derived: Data
     is not a blank value: no app value takes the other's, no base was never sent, and what a
     send replaced is unknown if null.
     """
-    names_of, rows = ("app", "external", "base", "replaced"), all_sides
+    rows = all_sides
     track, field = (F.col(k) for k in keys)
     if entries is not None:
         own = entries.groupBy(F.col(keys[0]).alias("track__")).agg(F.max(F.coalesce("stale", F.lit(False))).alias("stale__"))
@@ -74,15 +90,15 @@ def detect(all_sides: DataFrame, entries: DataFrame | None = None, derived: Data
     else:
         rows = rows.withColumns({"stale__": F.lit(False), "there__": F.col("external").isNotNull()})
     if derived is not None:
-        own = derived.select(F.col(keys[0]).alias("t__"), F.col(keys[1]).alias("f__")).distinct()
-        rows = rows.join(own, (track == F.col("t__")) & (field == F.col("f__")), "left").withColumn("derived__", F.col("t__").isNotNull()).drop("t__", "f__")
+        own = derived.groupBy(F.col(keys[0]).alias("track__")).agg(F.collect_set(keys[1]).alias("fields__"))
+        rows = rows.join(own, track == F.col("track__"), "left").withColumn("derived__", F.coalesce(F.array_contains("fields__", field), F.lit(False))).drop("track__", "fields__")
     else:
         rows = rows.withColumn("derived__", F.lit(False))
     said = lambda c: F.lit(True) if c == "external" else F.col(c).isNotNull()
-    keyed = rows.withColumns({f"{c}__": F.when(said(c), F.coalesce(comparison_key(field, F.col(c)), F.lit(""))) for c in names_of})
-    decided = decisions.merge_decision(field_kind(field), *(F.col(f"{c}__") for c in names_of), F.col("there__"), F.coalesce("stale__", F.lit(False)), F.col("derived__"))
+    keyed = rows.withColumns({f"{c}__": F.when(said(c), F.coalesce(comparison_key(field, F.col(c)), F.lit(""))) for c in NAMES})
+    decided = decisions.merge_decision(field_kind(field), *(F.col(f"{c}__") for c in NAMES), F.col("there__"), F.coalesce("stale__", F.lit(False)), F.col("derived__"))
     out = keyed.withColumn("decision", decided).withColumn("handling", handling(F.col("decision")))
-    return out.drop("stale__", "there__", "derived__", *(f"{c}__" for c in names_of))
+    return out.drop("stale__", "there__", "derived__", *(f"{c}__" for c in NAMES))
 
 
 def sync(found: DataFrame, opened: DataFrame, keys: tuple[str, str] = ("track", "field")) -> DataFrame:

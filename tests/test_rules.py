@@ -55,3 +55,20 @@ def test_names_and_keys(spark):
     assert one(names.absolute_path(F.lit("a"), F.lit(None).cast("string"))) is None
     assert one(names.mashup_parts(F.lit("x A"))) is None and one(names.mashup_parts(F.lit("A x B vs. C"))) == ["A", "B", "C"]
     assert one(conflicts.comparison_key(F.lit("Year"), F.lit("0199"))) == "n199" and one(conflicts.comparison_key(F.lit("Rating"), F.lit(None).cast("string"))) == "s0"
+
+
+def test_sides_are_dealt_once_in_shares_of_the_input(spark):
+    rows = spark.range(0, 400, 1, 3).selectExpr("id % 50 AS track", "IF(id % 2 = 0, 'Year', 'Rating') AS field", "element_at(array('app', 'external', 'base'), CAST(id % 3 AS INT) + 1) AS side", "concat('', 1990 + id % 7) AS value")
+    found = conflicts.sides_of(rows)
+    derived = spark.createDataFrame([(1, "Rating"), (1, "Rating"), (2, "Rating")], "track long, field string")
+    decided = conflicts.detect(found, rows.selectExpr("track", "false AS stale"), derived)
+    shares = 3 * conflicts.SHARES
+    assert found.rdd.getNumPartitions() == shares and decided.rdd.getNumPartitions() == shares  # wide rows are not shuffled again
+    want = {}
+    for r in rows.collect():
+        own = want.setdefault((r.track, r.field), {})
+        own[r.side] = min(own.get(r.side, r.value), r.value)
+    got = {(r.track, r.field): {n: r[n] for n in conflicts.NAMES if r[n] is not None} for r in found.collect()}
+    assert got == want and decided.count() == len(want)
+    split = conflicts.sides(*(rows.where(F.col("side") == n).select("track", "field", "value") for n in conflicts.NAMES))
+    assert sorted(split.collect()) == sorted(found.collect())
