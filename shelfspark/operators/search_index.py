@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.text import sort_key
 from shelfspark.operators.search import query_words
+from shelfspark.storage import scratch, stored
 
 #: Behind every token that begins with a word.
 LAST = "\U0010ffff"
@@ -30,12 +31,16 @@ def postings(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
 
     Null texts have no tokens.
     """
-    return _gathered(_tokens(rows, id_col, columns))
+    return _gathered(_tokens(_words(rows, id_col, columns)))
 
 
-def _tokens(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    each = [rows.select(F.col(id_col).alias("id"), F.lit(k).alias("place"), F.posexplode(tokens(F.col(c).cast("string"))).alias("at", "token")) for k, c in enumerate(columns)]
-    return reduce(DataFrame.unionByName, each).select("token", "id", "place", "at")
+def _words(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    each = [rows.select(F.col(id_col).alias("id"), F.lit(k).alias("place"), tokens(F.col(c).cast("string")).alias("words")) for k, c in enumerate(columns)]
+    return reduce(DataFrame.unionByName, each)
+
+
+def _tokens(words: DataFrame) -> DataFrame:
+    return words.select("id", "place", F.posexplode("words").alias("at", "token")).select("token", "id", "place", "at")
 
 
 def _gathered(rows: DataFrame) -> DataFrame:
@@ -50,12 +55,15 @@ def _written(made: DataFrame, path: str) -> DataFrame:
 def build(rows: DataFrame, id_col: str, columns: list[str], path: str) -> DataFrame:
     """Write the posting table and read it back. Ids tell rows apart.
 
-    Words are dealt into ranges and put together there, so they are shuffled once. Texts are
-    dealt out first only where a small table has fewer partitions than there are cores.
+    Texts are taken apart once and their words written: finding the ranges reads these again
+    and not the texts. Words are dealt into ranges and put together there, so they are shuffled
+    once. Texts are dealt out first only where a small table has fewer partitions than there are cores.
     """
     rows, cores = rows.select(id_col, *columns), rows.sparkSession.sparkContext.defaultParallelism
     rows = rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-    return _written(_gathered(_tokens(rows, id_col, columns).repartitionByRange("token", "id", "place")), path)
+    with scratch(rows.sparkSession):
+        words = stored(_words(rows, id_col, columns), "index-words")
+        return _written(_gathered(_tokens(words).repartitionByRange("token", "id", "place")), path)
 
 
 def _range(index: DataFrame, token: str, prefix: bool) -> DataFrame:
@@ -102,7 +110,10 @@ def suggest(index: DataFrame, beginning: str, most: int = 10) -> DataFrame:
 def refreshed(index: DataFrame, changed: DataFrame, id_col: str, columns: list[str], path: str) -> DataFrame:
     """The index with the postings of changed rows made anew; rows that only have an id are gone from it."""
     kept = index.join(changed.select(F.col(id_col).alias("id")).distinct(), "id", "left_anti")
-    return _written(kept.unionByName(postings(changed, id_col, columns)).repartitionByRange("token", "id", "place"), path)
+    with scratch(index.sparkSession):
+        words = stored(_words(changed, id_col, columns), "index-words")
+        made = stored(_gathered(_tokens(words)), "index-postings")
+        return _written(kept.unionByName(made).repartitionByRange("token", "id", "place"), path)
 
 
 def stored_index(spark: SparkSession, path: str) -> DataFrame:

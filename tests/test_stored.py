@@ -139,3 +139,19 @@ def test_stored_rows_are_derived_once(spark, sf, monkeypatch):
     monkeypatch.setattr(track_queries.track_table.KeyedTable, "sync", lambda self, derived: plans.append(derived._jdf.queryExecution().optimizedPlan().toString()))
     track_queries._stored(spark, sf)
     assert len(plans) == 2 and not any("Join" in p for p in plans)
+
+
+def test_texts_are_taken_apart_once_for_the_index(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(n):
+        seen.add(1)
+        return f"Éta {n} common {n % 5}"
+
+    rows = spark.range(0, 60, 1, 8).select("id", text("id").alias("a"))
+    index = search_index.build(rows, "id", ["a"], new_path(spark, "test-postings"))
+    assert seen.value == 60  # finding the ranges of words reads no text
+    assert sorted(r.id for r in search_index.find(index, "eta comm").collect()) == list(range(60))
+    search_index.refreshed(index, rows.where("id < 10"), "id", ["a"], new_path(spark, "test-postings"))
+    assert seen.value == 70
