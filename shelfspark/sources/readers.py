@@ -15,9 +15,16 @@ NODE = "_Type int, _Name string, _KeyType int, TRACK array<struct<_Key:string>>"
 
 
 def collection_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Tracks of a collection export: typed fields, beat grid and cues. Entries of playlists, which have a Key, are no tracks."""
-    rows = spark.read.format("xml").option("rowTag", "TRACK").option("mode", "PERMISSIVE").schema(TRACK).load(path)
-    rows = rows.where("_TrackID is not null")
+    """Tracks of a collection export: typed fields, beat grid and cues. Entries of playlists, which have a Key, are no tracks.
+
+    Read from one "<TRACK" to the next, so that Spark splits a file of any size, which its
+    XML source does not. Tags in comments count as tags.
+    """
+    tag = r"""^[\s/>](?:[^"'>]++|"[^"]*+"|'[^']*+')*+"""
+    rows = spark.read.option("lineSep", "<TRACK").text(path).where(F.col("value").rlike(r"^\s") & F.regexp_extract("value", tag, 0).rlike(r"\sTrackID\s*="))
+    alone = F.regexp_extract("value", tag + "(?<=/)>", 0)
+    whole = F.concat(F.lit("<TRACK"), F.when(alone != "", alone).otherwise(F.regexp_extract("value", r"(?s)^.*?</TRACK\s*>", 0)))
+    rows = rows.select(F.from_xml(whole, TRACK, {"mode": "PERMISSIVE"}).alias("x")).select("x.*").where("_TrackID is not null")
     return rows.select(*(F.col(f"`{c}`").alias(c.lstrip("_").lower()) for c in rows.columns)).withColumn("path", text.location_decode(F.col("location")))
 
 

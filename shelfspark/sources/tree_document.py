@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfspark.functions import text
@@ -14,7 +15,6 @@ from shelfspark.storage import new_path, remove, stored
 MOST_LEVELS = 32
 #: Digits of a place in a sort key.
 DIGITS = 9
-ENTRY = "array<struct<_Key:string>>"
 
 
 def read_tree(spark: SparkSession, path: str, levels: int = MOST_LEVELS) -> tuple[DataFrame, DataFrame]:
@@ -23,27 +23,81 @@ def read_tree(spark: SparkSession, path: str, levels: int = MOST_LEVELS) -> tupl
     nodes(node, parent, place, name, folder, key_type): ``node`` is the node's place in its
     file and tree ("0.2.1"), so that it tells nodes apart; the top has no parent. entries(node, place, key).
     Folders deeper than ``levels`` are not looked into.
+
+    The document is read tag by tag, so Spark splits a file of any size, within one element
+    too. What spans splits is carried from one to the next in a few rows for each split.
+    Tags in comments count as tags.
+    """
+    tags = _levelled(_tags(spark, path)).where((F.col("level") >= F.when(F.col("kind") == "TRACK", 1).otherwise(0)) & (F.col("level") <= F.when(F.col("kind") == "TRACK", levels + 1).otherwise(levels)))
+    members = stored(_placed(stored(tags, "tree-tags")), "tree-members")
+    own = members.where("kind = 'NODE'")
+    below = lambda d: own.where(F.col("level") == d)
+    fields = (F.col("name"), (F.col("type") == 0).alias("folder"), F.coalesce("key_type", F.lit(0)).alias("key_type"))
+    level = stored(below(0).select("at", F.col("place").cast("string").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("place"), *fields), "tree-top")
+    out = level
+    for depth in range(1, (own.agg(F.max("level")).first()[0] or 0) + 1):
+        above = level.select(F.col("at").alias("up"), F.col("node").alias("parent"))
+        found = below(depth).join(above, "up").select("at", F.concat_ws(".", "parent", F.col("place").cast("string")).alias("node"), "parent", "place", *fields)
+        level = stored(found, "tree-level")
+        out = out.unionByName(level)
+    lists = out.select(F.col("at").alias("up"), "node", F.col("key_type").alias("kind_of_key"))
+    entries = members.where("kind = 'TRACK'").join(lists, "up").select("node", F.col("kind_of_key").alias("key_type"), "place", "key")
+    return out.drop("at"), entries
+
+
+def _tags(spark: SparkSession, path: str) -> DataFrame:
+    """(block, at, kind, step, type, name, key_type, key): the tags NODE and TRACK and the ends of nodes.
+
+    A record ends before the next "<", which XML has nowhere inside a tag. ``block`` is the
+    split, (file, start): blocks, and within one ``at``, are in the document's order.
+    ``step`` is what the tag adds to the number of open nodes.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    rows = spark.read.option("lineSep", "<").text(path).select(place.alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    rows = rows.select("block", "at", F.regexp_extract("value", r"^(NODE|/NODE|TRACK)[\s/>]", 1).alias("kind"), "value").where("kind <> ''")
+    inside = F.regexp_extract("value", r"""^\w+((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>""", 1)
+    rows = rows.withColumn("inside", F.when(F.col("kind") != "/NODE", inside))
+    whole = F.concat(F.lit("<NODE"), F.regexp_replace("inside", "/$", ""), F.lit("/>"))
+    x = F.from_xml(whole, "_Type INT, _Name STRING, _KeyType INT, _Key STRING")
+    step = F.when(F.col("kind") == "/NODE", -1).when((F.col("kind") == "NODE") & ~F.endswith("inside", F.lit("/")), 1).otherwise(0)
+    rows = rows.select("block", "at", "kind", step.alias("step"), x.alias("x"))
+    return stored(rows.select("block", "at", "kind", "step", F.col("x._Type").alias("type"), F.col("x._Name").alias("name"), F.col("x._KeyType").alias("key_type"), F.col("x._Key").alias("key")), "tree-read")
+
+
+def _levelled(tags: DataFrame) -> DataFrame:
+    """The tags NODE and TRACK with ``level``, the number of nodes that are open before them; blocks are numbered in order."""
+    before = W.rowsBetween(W.unboundedPreceding, -1)
+    blocks = tags.groupBy("block").agg(F.sum("step").alias("steps"))  # one row for each split
+    blocks = blocks.select(F.col("block").alias("of"), F.row_number().over(W.orderBy("block")).alias("no"), F.coalesce(F.sum("steps").over(before.orderBy("block")), F.lit(0)).alias("base"))
+    within = F.coalesce(F.sum("step").over(before.partitionBy("block").orderBy("at")), F.lit(0))
+    rows = tags.withColumn("within", within).where("kind <> '/NODE'").join(F.broadcast(blocks), F.col("block") == F.col("of"))
+    return rows.withColumn("level", (F.col("base") + F.col("within")).cast("int")).withColumn("block", F.col("no")).drop("of", "no", "base", "within", "step")
+
+
+def _placed(tags: DataFrame) -> DataFrame:
+    """``tags`` with ``up``, the ``at`` of the node around them (-1 at the top), and ``place`` among its children of their kind.
+
+    Each node is a mark to the tags one level below it: the last mark before a tag is the node around it.
     """
-    schema = f"_Type int, _Name string, _KeyType int, TRACK {ENTRY}"
-    for _ in range(levels):
-        schema = f"_Type int, _Name string, _KeyType int, TRACK {ENTRY}, NODE array<struct<{_struct(schema)}>>"
-    top = spark.read.format("xml").option("rowTag", "NODE").schema(schema).load(path)
-    level = top.select(F.monotonically_increasing_id().cast("string").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("place"), F.struct("*").alias("x"))
-    level = stored(level, "tree-top")
-    out = None
-    for depth in range(levels + 1):
-        now = level.select("node", "parent", "place", F.col("x._Name").alias("name"), (F.col("x._Type") == 0).alias("folder"), F.coalesce("x._KeyType", F.lit(0)).alias("key_type"), F.col("x.TRACK").alias("tracks"))
-        out = now if out is None else out.unionByName(now)
-        if depth < levels:
-            level = level.select(F.col("node").alias("parent"), F.posexplode("x.NODE").alias("place", "x"))
-            level = level.select(F.concat_ws(".", "parent", F.col("place").cast("string")).alias("node"), "parent", "place", "x")
-    out = stored(out, "tree-nodes")
-    entries = out.select("node", "key_type", F.posexplode("tracks").alias("place", "t")).select("node", "key_type", "place", F.col("t._Key").alias("key"))
-    return out.drop("tracks"), entries
-
-
-def _struct(ddl: str) -> str:
-    return ddl.replace("_Type int", "_Type:int").replace("_Name string", "_Name:string").replace("_KeyType int", "_KeyType:int").replace(f"TRACK {ENTRY}", f"TRACK:{ENTRY}").replace("NODE array", "NODE:array")
+    before = W.rowsBetween(W.unboundedPreceding, -1)
+    mark, of = F.struct(F.col("level").alias("group"), F.lit(True).alias("mark")), F.struct((F.col("level") - 1).alias("group"), F.lit(False).alias("mark"))
+    rows = tags.withColumn("as", F.explode(F.when(F.col("kind") == "NODE", F.array(mark, of)).otherwise(F.array(of)))).select("*", "as.*").drop("as")
+    last = rows.where("mark").groupBy("block", "group").agg(F.max("at").alias("last"))
+    every = rows.select("block").distinct().crossJoin(last.select("group").distinct())  # one row for each split and level
+    carried = every.join(last, ["block", "group"], "left").withColumn("since", F.last("last", True).over(before.partitionBy("group").orderBy("block")))
+    carried = carried.where("since IS NOT NULL").select(F.col("block").alias("b"), F.col("group").alias("g"), "since")
+    within = F.last(F.when(F.col("mark"), F.col("at")), True).over(before.partitionBy("block", "group").orderBy("at"))
+    rows = rows.withColumn("within", within).where("NOT mark").join(F.broadcast(carried), (F.col("block") == F.col("b")) & (F.col("group") == F.col("g")), "left")
+    rows = rows.withColumn("up", F.coalesce("within", "since", F.lit(-1)))
+    rows = stored(rows.select(*tags.columns, "up"), "tree-children")
+    # children of what stays open from one split to the next
+    open_ = carried.select(F.col("since").alias("up")).union(tags.sparkSession.range(1).select(F.lit(-1).cast("long"))).distinct()
+    counts = rows.groupBy("up", "kind", "block").agg(F.count("*").alias("n")).join(F.broadcast(open_), "up", "left_semi")
+    earlier = F.coalesce(F.sum("n").over(before.partitionBy("up", "kind").orderBy("block")), F.lit(0))
+    counts = counts.select(F.col("up").alias("u"), F.col("kind").alias("k"), F.col("block").alias("b"), earlier.alias("earlier"))
+    number = F.row_number().over(W.partitionBy("block", "up", "kind").orderBy("at")) - 1
+    rows = rows.withColumn("number", number).join(F.broadcast(counts), (F.col("up") == F.col("u")) & (F.col("kind") == F.col("k")) & (F.col("block") == F.col("b")), "left")
+    return rows.select(*tags.columns, "up", (F.col("number") + F.coalesce("earlier", F.lit(0))).cast("int").alias("place"))
 
 
 def paths(nodes: DataFrame) -> DataFrame:
