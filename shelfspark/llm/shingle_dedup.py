@@ -184,9 +184,8 @@ def near_duplicates(docs: DataFrame, dense: int = 16) -> DataFrame:
     sets = stored(_sets(docs, np.zeros(0, np.int64)), "near-all")
     nodes = stored(sets.groupBy("digest").agg(F.min("id").alias("node")), "near-nodes")
     one = sets.join(nodes, "digest").where("id = node").dropDuplicates(["digest"])
-    prefixes = stored(one.select("node", "n", "keys"), "near-prefixes")
-    fps = sets.join(nodes, "digest").where("id = node").dropDuplicates(["digest"]).select("node", "fp")
-    parts = connected_components(_links(docs, prefixes, dense, stored(fps, "near-nodes-fps")))
+    one = stored(one.select("node", "n", "keys", "fp"), "near-prefixes")
+    parts = connected_components(_links(docs, one.drop("fp"), dense, one.select("node", "fp")))
     classes = nodes.join(parts, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return sets.select("id", "digest").join(classes, "digest").select("id", "component")
 
@@ -195,9 +194,15 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     """Pipeline stage: of each component of near-duplicates, the row with the least doc_id.
 
     A null id counts as the least. Of rows that share the least id, that with the
-    least text hash stays, and of repeated rows one.
+    least text hash stays, and of repeated rows one. Texts are not shuffled for it
+    where the ids of what goes or repeats are few enough for Spark to broadcast.
     """
     own = F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("h"))
     rows = docs.select(own.alias("own__"), F.struct(*docs.columns).alias("row__"))
-    least = near_duplicates(docs.select(own.alias("id"), "text")).where("id = component").select("id").distinct()
-    return rows.join(least, F.col("own__").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["own__"]).select("row__.*")
+    found = near_duplicates(docs.select(own.alias("id"), "text")).groupBy("id").agg(F.min("component").alias("component"), F.count("*").alias("n"))
+    other = stored(found.where("id != component OR n > 1").select("id", (F.col("id") == F.col("component")).alias("stays")), "near-other")
+    alone = rows.join(other, F.col("own__").eqNullSafe(F.col("id")), "left_anti").select("row__.*")
+    again = other.where("stays")
+    if again.isEmpty():
+        return alone
+    return alone.unionByName(rows.join(again, F.col("own__").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["own__"]).select("row__.*"))

@@ -79,3 +79,16 @@ def test_simhash_links_what_is_close(spark, monkeypatch):
     none = spark.createDataFrame([], "src long, dst long")
     monkeypatch.setattr(shingle_dedup, "_pairs", lambda *_: none)  # so only SimHash finds candidates
     assert {r.id: r.component for r in shingle_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_stage_does_not_shuffle_what_stays(spark, tmp_path):
+    texts = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(40)]
+    rows = [*enumerate(texts), (50, texts[3]), (51, None), (52, ""), (None, texts[5])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert sorted((x.doc_id is not None, x.doc_id or 0) for x in kept.collect()) == [(False, 0)] + [(True, k) for k in [*range(5), *range(6, 40), 51]]
+    twice = corpus_pipeline.near_duplicates(spark, docs.union(docs), "")
+    assert sorted(map(str, twice.collect())) == sorted(map(str, kept.collect()))
