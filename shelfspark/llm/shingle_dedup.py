@@ -58,13 +58,21 @@ def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64).view(np.int64))
 
 
+def _later(own: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """``own`` with its members of ``usual`` put last; both are sorted, and the longer is only searched."""
+    if not len(usual):
+        return own
+    last = usual[np.minimum(np.searchsorted(usual, own), len(usual) - 1)] == own
+    return np.concatenate([own[~last], own[last]])
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
 def _sets(docs: DataFrame, usual: np.ndarray | None) -> DataFrame:
-    """(id, digest of the words, fp, n, keys) of ``docs(id, text)``: the longer prefix with ``usual`` keys last; all n shingles if null.
+    """(id, digest of the words, fp, n, keys) of ``docs(id, text)``: the longer prefix with ``usual`` keys, sorted, last; all n shingles if null.
 
     ``fp`` is the SimHash fingerprint of all n shingles as a signed long, where ``usual`` is empty; else null.
     """
@@ -80,8 +88,7 @@ def _sets(docs: DataFrame, usual: np.ndarray | None) -> DataFrame:
                 fps.append(np.uint64(fingerprint(own.view(np.uint64))).astype(np.int64) if usual is not None and not len(usual) else None)
                 sizes.append(len(own))
                 if usual is not None:
-                    last = np.isin(own, usual) if len(usual) else np.zeros(len(own), bool)
-                    own = np.concatenate([own[~last], own[last]])[: len(own) // 5 + 1]
+                    own = _later(own, usual)[: len(own) // 5 + 1]
                 keys.append(own)
                 held += len(keys[-1])
                 if held > HELD or k == b.num_rows - 1:
