@@ -9,7 +9,9 @@ A phrase can only be frequent if its parts are, so a task offers only pairs of w
 both pass a bit map of the frequent words, and longer phrases whose neighbouring pairs all
 pass a map of the frequent pairs. A map is of bounded size: with very many frequent
 phrases it lets more through, and no count changes. The parts a candidate is cut into are looked up by requests shuffled to the
-counts; requests for one part are spread over several copies of its count.
+counts; requests for one part are spread over several copies of its count. Copies, requests
+and inner phrases are many rows from small files, so their joins are merge joins, and none of
+them is broadcast by the size of its files.
 """
 
 from __future__ import annotations
@@ -215,6 +217,7 @@ def frequent_phrases(offered: DataFrame, least: int) -> DataFrame:
             return
         at = folder or os.environ.get("SPARK_LOCAL_DIRS", os.environ.get("LOCAL_DIRS", "")).split(",")[0] or os.getcwd()
         own = os.path.join(at, uuid.uuid4().hex)
+        os.makedirs(own, exist_ok=True)  # DuckDB makes its folder only in one that is there
         con = duckdb.connect(config={"memory_limit": MEMORY, "temp_directory": own, "threads": 1, "preserve_insertion_order": False})
         try:
             grams = pa.RecordBatchReader.from_batches(head.schema, itertools.chain([head], batches))
@@ -273,7 +276,7 @@ def _scored(candidates: DataFrame, counted: DataFrame) -> DataFrame:
     sides = F.array(side("l", F.slice(words, 1, F.col("k"))), side("r", F.slice(words, F.col("k") + 1, F.col("words") - F.col("k"))))
     asked = cut.select("lang", "phrase", "a", "k", F.inline(sides), F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int").alias("salt"))
     told = counted.select("lang", F.col("phrase").alias("part"), "f", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    answers = asked.join(told, ["lang", "part", "salt"])
+    answers = asked.join(told.hint("merge"), ["lang", "part", "salt"])
     by_cut = answers.groupBy("lang", "phrase", "a", "k").agg(*(F.max(F.when(F.col("side") == s, F.col("f"))).alias(s) for s in "lr"))
     score = F.expr(f"(cast({FACTOR} as decimal(7,0)) * cast(a as decimal(19,0))) div (cast(l as decimal(19,0)) + cast(r as decimal(19,0)))")
     least = by_cut.withColumn("score", score).groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "l", "r", "a")).alias("x"))
@@ -298,7 +301,7 @@ def collocations(
     holders = candidates.where("words >= 3").select("lang", F.explode(inner).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     hundredfold = lambda c: F.col(c).cast("decimal(20,0)")
     gone = F.coalesce(hundredfold("longer") * 100 >= hundredfold("a") * covered, F.lit(False))
-    rest = candidates.join(holders, ["lang", "phrase"], "left").where(~gone).select("lang", "phrase", "words", "a")
+    rest = candidates.join(holders.hint("merge"), ["lang", "phrase"], "left").where(~gone).select("lang", "phrase", "words", "a")
     scored = _scored(rest, counted)
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
     # first the best of each of several shares of a language, then the best of those
