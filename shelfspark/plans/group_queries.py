@@ -112,12 +112,12 @@ def aligned_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where two texts with the same second to fourth words match, by their words' stored hashes: the main alignment and two more."""
     space = r"[ \t\n\x0b\f\r]+"
     words = F.filter(F.split("text", space), lambda w: w != "")
-    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("ws")).where("ws IS NOT NULL")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", words.alias("ws"))
     begin = docs.where("size(ws) >= 4").select("doc_id", F.md5(F.array_join(F.slice("ws", 2, 3), " ")).alias("k"))
     first = begin.groupBy("k").agg(F.min("doc_id").alias("a"))
     pairs = begin.join(first, "k").where("a < doc_id").select("a", F.col("doc_id").alias("b"))
-    seq = alignment.items(docs, "doc_id", F.transform("ws", lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long")))
-    return alignment.align(pairs, seq, least=10, most=3)
+    lists = docs.select(F.col("doc_id").alias("id"), F.transform("ws", lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long")).alias("items"))
+    return alignment.align_lists(pairs, lists, least=10, most=3)
 
 
 @query("SELECT user_id AS id, count(*) AS events, max(event_id) AS last FROM events GROUP BY 1")
