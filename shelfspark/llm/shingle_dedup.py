@@ -24,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +55,8 @@ def shingles(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
     if not words:
         return np.zeros(0, np.int64)
     grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(g, SEED) for g in grams), np.uint64).view(np.int64))
+    digests = b"".join(map(xxhash.xxh64_digest, grams, repeat(SEED)))
+    return np.unique(np.frombuffer(digests, ">i8").astype(np.int64))
 
 
 def _later(own: np.ndarray, usual: np.ndarray) -> np.ndarray:
